@@ -1,6 +1,6 @@
 """Exact search for repeated windows of tokens over a whole corpus.
 
-Documents are dealt into blocks by ranges of doc_id, about 8 MB each.  Blocks and hash
+Documents are dealt into blocks by ranges of doc_id, about 4 MB each.  Blocks and hash
 shards exchange packed messages, so a passage that a third of all documents share costs
 each shard at most one entry a block:
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._common import id_blocks
 from ._minimizers import anchors, mix64
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 GROUP = 256  # contexts of one anchor that a solver takes
 ELSEWHERE, SENDER, HOT = 1, 2, 4
 _MESSAGE = "_shard int, _block int, kind int, payload binary"
