@@ -66,7 +66,7 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(tokens: np.ndarray, bounds: np.ndarray, length: int, k: int):
     """(at, first, last, gram, context): for each anchor its position, the first and last
-    start of the windows that it stands for, its k-gram hash, and a hash of these windows.
+    start of the windows that it stands for, a hash of its k-gram, and one of these windows.
 
     ``tokens`` holds documents end to end, as uint64 or as bytes, and ``bounds`` their
     n + 1 offsets; windows do not cross documents.  The windows of one anchor are
@@ -102,4 +102,5 @@ def anchors(tokens: np.ndarray, bounds: np.ndarray, length: int, k: int):
     tails = np.concatenate([heads[1:], [len(at)]]) - 1
     first, last = first[heads], last[tails]
     context = mix64(mix64(left[heads]) + right[tails] * _MIX + (last - first).astype(np.uint64))
-    return at[heads], first, last, gram[heads], context
+    # Least hashes are small; mixed again they are even, so that they part shards evenly.
+    return at[heads], first, last, mix64(gram[heads] ^ _GOLDEN), context
