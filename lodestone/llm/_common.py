@@ -1,17 +1,16 @@
-"""What the operators share: input columns, tables in the shared folder, block sizes."""
+"""What the operators share: input columns, words, blocks of documents."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: The characters that separate words, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -21,56 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
-        pass
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage and to be read more than once.
-
-    ``drop()`` deletes them early; all others go when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        atexit.register(_delete_at_exit, self.spark, path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, keep_last: int = 0) -> None:
-        gone = self.paths[: len(self.paths) - keep_last]
-        for path in gone:
-            _delete(self.spark, path)
-        self.paths = self.paths[len(gone) :]
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() alone would change other letters too."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -97,3 +46,6 @@ def id_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.float64, na_value=np.inf)).astype(np.int32))
 
     return docs.withColumn("_block", block(F.col("doc_id"))), n
+
+
+__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "id_blocks", "n_words", "read"]

@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     entries = entries.join(shared, ["label", "key"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     entries = entries.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    entries = entries.withColumn("other", other).select("rep", "label", "key", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
+    entries = entries.withColumn("other", other).select("rep", "which", "label", "key", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
     pieces = entries.join(coded.drop("label"), ["rep", "which"]).repartition("label", "key", "left", "right").sortWithinPartitions("label", "key", "left", "right")
     found = scratch.keep(pieces.mapInArrow(_compare(threshold), _FOUND))
 

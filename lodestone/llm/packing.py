@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 2
 _REMEMBERED = 300_000  # distinct words whose ids a worker keeps
 _GROUP = 1000  # partitions in a group of the two-level prefix sums
@@ -50,7 +49,7 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def encode(text: bytes, path: str = VOCABULARY, end: int = END) -> np.ndarray:
+def encode(text: bytes, path: str, end: int = END) -> np.ndarray:
     """The ids of a text, and then ``end``."""
     words = _words(path)
     tail = np.array([end], words.kind).tobytes()
@@ -102,9 +101,12 @@ def _cut(window: int):
     return cut
 
 
-def pack(docs: DataFrame, window: int = 4096, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Sequences of ``window`` tokens; only the last one is shorter.
 
+    ``vocabulary``: path of a tokenizer file that every executor has; word_bpe_49k.json of
+    the public tokenizers by default.
+
     Returns a row for each piece: doc_id, start (its document's ids before it), length,
     ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id
     and offset (its place there).  A document is its ids and then ``end``: a null or empty
@@ -112,6 +114,10 @@ def pack(docs: DataFrame, window: int = 4096, vocabulary: str = VOCABULARY, end:
     their own pieces; other columns are not read.  The order is that of the written
     token table.
     """
+    if vocabulary is None:
+        from public_tokenizers import path
+
+        vocabulary = path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     tokens = scratch.keep(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, part long, before long, doc_tokens long, wide boolean, ids binary"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import license_scan, line_dedup, mixing
 from ._common import Scratch, read
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
@@ -44,6 +44,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_mixing, op2_minhash_dedup, op3_line_dedup, op4_toxicity, op5_embedding_dedup,
+        op6_license_scan,
         op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup, op10_packing,
     )
     return {q.__name__: q for q in every}
