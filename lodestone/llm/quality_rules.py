@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -88,9 +89,12 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float,
     """Log odds of good, and for each rule what a good and what a bad vote add to them.
 
     ``patterns``: votes (array of int) and n, at most 3 ** n_rules rows; one expression runs
-    all rounds of expectation-maximisation over them.  Accuracies start at 0.8, have a weak
+    all rounds of expectation-maximisation over them; without rows the model is where it
+    starts.  Accuracies start at 0.8, have a weak
     prior there, and stay within 0.55 and 0.99, so that no rule turns against its meaning.
     """
+    if patterns.isEmpty():
+        return 1.0, [math.log(4)] * n_rules, [-math.log(4)] * n_rules
     every = f"sequence(0, {n_rules - 1})"
     logit = f"(m.c + aggregate({every}, 0D, (s, j) -> s + CASE p.v[j] WHEN 1 THEN m.g[j] WHEN 0 THEN m.b[j] ELSE 0D END))"
     share = f"transform(t, p -> p.n / (1D + exp(-{logit})))"
