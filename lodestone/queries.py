@@ -289,7 +289,7 @@ _sql("sql_join_inner", """SELECT n_name, count(*) AS n, round(sum(o_totalprice),
 JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""", "orders", "customer", "nation")
 _sql("sql_join_left", """SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""", "orders", "customer")
 _sql("sql_join_right", """SELECT c_custkey, count(o_orderkey) AS n FROM orders RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey""", "orders", "customer")
-_sql("sql_join_full", """SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey FROM supplier) s FULL OUTER JOIN (SELECT p_partkey FROM part WHERE p_size > 25) p
+_sql("sql_join_full", """SELECT coalesce(s_suppkey, -1) AS s_suppkey, coalesce(p_partkey, -1) AS p_partkey FROM (SELECT s_suppkey FROM supplier) s FULL OUTER JOIN (SELECT p_partkey FROM part WHERE p_size > 25) p
 ON s_suppkey = p_partkey""", "supplier", "part")
 _sql("sql_join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", "customer", "orders")
 _sql("sql_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
@@ -348,7 +348,7 @@ def formats_round_trip(spark, sf_dir):
     return both.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT e.event_id, max(p.event_id) AS last_purchase FROM events e LEFT JOIN events p
+@query("""SELECT e.event_id, coalesce(max(p.event_id), -1) AS last_purchase FROM events e LEFT JOIN events p
 ON p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id <= e.event_id))
 AND NOT EXISTS (SELECT 1 FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'purchase'
   AND (q.ts < e.ts OR (q.ts = e.ts AND q.event_id <= e.event_id)) AND (q.ts > p.ts OR (q.ts = p.ts AND q.event_id > p.event_id)))
@@ -357,7 +357,7 @@ def join_asof(spark, sf_dir):
     """Each event with the last purchase of its user so far: one window, no join."""
     e = table(spark, sf_dir, "events")
     before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before).alias("last_purchase"))
+    return e.select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before), F.lit(-1)).alias("last_purchase"))
 
 
 def queries() -> dict[str, Query]:
