@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from ._common import SPACE, WORD, Scratch, n_words
 
 ROUNDS = 30
+TRUST = (4.0, 0.998)  # weight and mean of the prior of a rule's accuracy on good texts
+FIRST = (1.0, 0.1, -4.0)  # where the log odds of good, of a good vote and of a bad vote start
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = "\x20\t\n\x0b\x0c\r"
 
@@ -79,7 +80,7 @@ def rules() -> list[Column]:
         _vote(n("n_words") >= 100, n("n_words") < 20),
         _vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 15.0)),
         _vote(symbols <= 0.02, symbols > 0.1),
-        _vote(lines == 0.0, lines > 0.3),
+        _vote(lines == 0.0, (n("n_dup_lines") >= 3) & (lines > 0.3)),
         _vote(repeats <= 0.1, repeats > 0.3),
         _vote(upper <= 0.15, upper > 0.5),
     ]
@@ -90,25 +91,29 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float,
 
     ``patterns``: votes (array of int) and n, at most 3 ** n_rules rows; one expression runs
     all rounds of expectation-maximisation over them; without rows the model is where it
-    starts.  Accuracies start at 0.8, have a weak
-    prior there, and stay within 0.55 and 0.99, so that no rule turns against its meaning.
+    starts.  A rule has two accuracies: how often it is right where it votes on good texts,
+    a, and on bad texts, b.  A rule may miss most bad texts, as each looks for one fault,
+    but never votes bad more often on good texts than on bad ones.  a has a prior as heavy
+    as TRUST[0] times all texts: faults are independent of each other, and without it
+    the commonest fault alone would come to mean bad.  At first a bad vote weighs much and
+    a good one little.
     """
     if patterns.isEmpty():
-        return 1.0, [math.log(4)] * n_rules, [-math.log(4)] * n_rules
+        return FIRST[0], [FIRST[1]] * n_rules, [FIRST[2]] * n_rules
     every = f"sequence(0, {n_rules - 1})"
     logit = f"(m.c + aggregate({every}, 0D, (s, j) -> s + CASE p.v[j] WHEN 1 THEN m.g[j] WHEN 0 THEN m.b[j] ELSE 0D END))"
     share = f"transform(t, p -> p.n / (1D + exp(-{logit})))"
     total = lambda what, when="true": f"aggregate(sequence(0, size(t) - 1), 0D, (s, i) -> s + IF({when}, {what}, 0D))"
-    clamp = lambda hit, all_: f"least(0.99D, greatest(0.55D, ({hit} + 8D) / ({all_} + 10D)))"
-    right = clamp(total("q[i]", "t[i].v[j] = 1"), total("q[i]", "t[i].v[j] >= 0"))
-    wrong = clamp(total("t[i].n - q[i]", "t[i].v[j] = 0"), total("t[i].n - q[i]", "t[i].v[j] >= 0"))
-    odds = f"transform({every}, j -> named_struct('a', {right}, 'b', {wrong}))"
+    sure = f"({TRUST[0]}D * {total('t[i].n')})"
+    right = f"(({total('q[i]', 't[i].v[j] = 1')} + {TRUST[1]}D * {sure}) / ({total('q[i]', 't[i].v[j] >= 0')} + {sure}))"
+    wrong = f"least(0.9995D, greatest(0.02D, ({total('t[i].n - q[i]', 't[i].v[j] = 0')} + 1D) / ({total('t[i].n - q[i]', 't[i].v[j] >= 0')} + 2D)))"
+    odds = f"transform(transform({every}, j -> named_struct('a', {right}, 'b', {wrong})), y -> named_struct('a', y.a, 'b', greatest(y.b, 1D - y.a)))"
     step = (
         f"transform(array({share}), q -> transform(array({odds}), x -> named_struct("
         f"'c', ln(({total('q[i]')} + 1D) / ({total('t[i].n - q[i]')} + 1D)),"
         "'g', transform(x, y -> ln(y.a / (1D - y.b))), 'b', transform(x, y -> ln((1D - y.a) / y.b))))[0])[0]"
     )
-    first = f"named_struct('c', 1D, 'g', array_repeat(ln(4D), {n_rules}), 'b', array_repeat(-ln(4D), {n_rules}))"
+    first = f"named_struct('c', {FIRST[0]}D, 'g', array_repeat({FIRST[1]}D, {n_rules}), 'b', array_repeat({FIRST[2]}D, {n_rules}))"
     table = patterns.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("n").cast("double").alias("n")))).alias("t"))
     model = table.select(F.expr(f"aggregate(sequence(1, {rounds}), {first}, (m, r) -> {step})").alias("m")).first()["m"]
     return model["c"], list(model["g"]), list(model["b"])

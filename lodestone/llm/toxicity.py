@@ -16,6 +16,7 @@ meet on the driver.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # labelled documents that a model is fitted on, at most
 CANDIDATES = 50_000  # features that the counts of clean documents are taken of, at most
-LEXICON = 4_000  # entries, at most
+LEXICON = 1_000  # entries, at most
 PREFIXES = (4, 5, 6)
 SHARDS = 4
-LEAST = 4  # toxic documents that an entry is found in
-PRECISION = 0.7
+LEAST = 4  # toxic documents without other entries that an entry must add
+PRECISION = 0.9
+COMMON = 0.02  # share of the toxic documents from which on an entry needs to add none
 ROUNDS = 25
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 300_000
@@ -101,6 +103,35 @@ def kinds_of(lexicon: dict[str, int]) -> np.ndarray:
     return out
 
 
+def cover(holding: list[list[str]]) -> list[str]:
+    """The entries that together are found in most of the documents, LEXICON at most.
+
+    Greedy: the next entry is the one found in most documents without an entry yet, the
+    longer one of equals; it must add LEAST of them.  What merely stands beside an entry in
+    copies of one text adds none.
+    """
+    found: dict[str, set[int]] = {}
+    for i, features in enumerate(holding):
+        for f in features:
+            found.setdefault(f, set()).add(i)
+    best = [(-len(d), -len(f), f) for f, d in found.items()]
+    heapq.heapify(best)
+    covered: set[int] = set()
+    out: list[str] = []
+    while best and len(out) < LEXICON:
+        _, length, f = heapq.heappop(best)
+        now = (-len(found[f] - covered), length, f)
+        if best and now > best[0]:
+            if now[0] <= -LEAST:
+                heapq.heappush(best, now)
+        elif now[0] <= -LEAST:
+            out.append(f)
+            covered |= found[f]
+        else:
+            break
+    return out
+
+
 def label_model(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """The probability of toxic for each row of ``votes``.
 
@@ -180,8 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
         yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     clean = {r["feature"]: r["n"] for r in sample.where("toxic = 0").mapInArrow(clean_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    good = [f for f, n in toxic.items() if n >= PRECISION * (n + clean.get(f, 0))]
-    lexicon = {f: i for i, f in enumerate(sorted(good, key=lambda f: (-toxic[f], f))[:LEXICON])}
+    good = docs.sparkSession.sparkContext.broadcast({f for f, n in toxic.items() if n >= PRECISION * (n + clean.get(f, 0))})
+
+    def good_features(batches):
+        for _, texts in _texts(batches):
+            yield pa.record_batch([pa.array([sorted(_features(t) & good.value) for t in texts], pa.list_(pa.string()))], names=["features"])
+
+    holding = [r["features"] for r in sample.where("toxic = 1").mapInArrow(good_features, "features array<string>").collect()]
+    common = sorted(f for f in good.value if toxic[f] >= max(2 * LEAST, COMMON * len(holding)))
+    lexicon = {f: i for i, f in enumerate(dict.fromkeys([*cover(holding), *common][:LEXICON]))}
     model, kinds = Model(lexicon, np.zeros(len(lexicon) + N_VOTERS), -3.0), kinds_of(lexicon)
 
     def look(batches):

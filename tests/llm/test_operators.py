@@ -359,13 +359,15 @@ def test_expectation_maximisation(spark):
     votes = [[-1 if r.random() < 0.2 else int(g == (r.random() < a)) for a in accuracy] for g in good]
     n = Counter(map(tuple, votes))
     prior, up, down = quality_rules.fit(spark.createDataFrame([(list(v), c) for v, c in n.items()], "votes array<int>, n long"), 4)
-    c, g, b = 1.0, [math.log(4)] * 4, [-math.log(4)] * 4
+    c, g, b = quality_rules.FIRST[0], [quality_rules.FIRST[1]] * 4, [quality_rules.FIRST[2]] * 4
     for _ in range(quality_rules.ROUNDS):  # the same rounds in plain Python
         q = {v: k / (1 + math.exp(-(c + sum(g[j] if x == 1 else b[j] if x == 0 else 0 for j, x in enumerate(v))))) for v, k in n.items()}
-        clamp = lambda hit, of: min(0.99, max(0.55, (hit + 8) / (of + 10)))
         c = math.log((sum(q.values()) + 1) / (sum(n.values()) - sum(q.values()) + 1))
-        right = [clamp(sum(q[v] for v in n if v[j] == 1), sum(q[v] for v in n if v[j] >= 0)) for j in range(4)]
-        wrong = [clamp(sum(n[v] - q[v] for v in n if v[j] == 0), sum(n[v] - q[v] for v in n if v[j] >= 0)) for j in range(4)]
+        sure = quality_rules.TRUST[0] * sum(n.values())
+        right = [(sum(q[v] for v in n if v[j] == 1) + quality_rules.TRUST[1] * sure) / (sum(q[v] for v in n if v[j] >= 0) + sure) for j in range(4)]
+        bad = {v: n[v] - q[v] for v in n}
+        wrong = [min(0.9995, max(0.02, (sum(bad[v] for v in n if v[j] == 0) + 1) / (sum(bad[v] for v in n if v[j] >= 0) + 2))) for j in range(4)]
+        wrong = [max(y, 1 - x) for x, y in zip(right, wrong)]
         g, b = [math.log(x / (1 - y)) for x, y in zip(right, wrong)], [math.log((1 - x) / y) for x, y in zip(right, wrong)]
     assert prior == pytest.approx(c) and up == pytest.approx(g) and down == pytest.approx(b)
 
