@@ -46,20 +46,23 @@ def new_path(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read more than once.
 
-    ``drop()`` deletes them early; all others go when the application ends.
+    ``drop_all_but()`` deletes early; all others go when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark)
         df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, keep_last: int = 0) -> None:
-        gone = self.paths[: len(self.paths) - keep_last]
-        for path in gone:
-            _delete(self.spark, path)
-        self.paths = self.paths[len(gone) :]
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop_all_but(self, *needed: DataFrame) -> None:
+        """Delete the tables that no result reads any more."""
+        for table, path in self.tables:
+            if not any(table is x for x in needed):
+                _delete(self.spark, path)
+        self.tables = [x for x in self.tables if any(x[0] is y for y in needed)]
