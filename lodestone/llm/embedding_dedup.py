@@ -223,6 +223,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
+    scratch.drop_all_but(classes, found, labels)
     of_class = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("label", "embedding", "weight", "linked", F.coalesce("component", "rep").alias("found"))
     named = rows.join(of_class, ["label", "embedding"], "left")

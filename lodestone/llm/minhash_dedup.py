@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = scratch.keep(links.union(more))
         labels = components(links, scratch)
 
+    scratch.drop_all_but(signed, classes, labels)
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
     named = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
