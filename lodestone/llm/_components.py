@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         labels = new
         if changed:
             return labels
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of the indices in the links a - b reaches."""
+    label = np.arange(int(max(a.max(), b.max())) + 1)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

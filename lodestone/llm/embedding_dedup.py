@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch
-from ._components import components
+from ._components import components, least_labels
 from ._minimizers import mix64
 
 RECALL = 0.999
@@ -85,20 +85,6 @@ def _code(bits: int, bands: int):
     return code
 
 
-def _least_labels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of the indices in the links a - b reaches."""
-    label = np.arange(int(max(a.max(), b.max())) + 1)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 _FOUND = "a long, b long, n long"
 
 
@@ -156,7 +142,7 @@ def _weigh(group: dict, threshold: float) -> tuple[list, list, list]:
     count = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
     some = np.flatnonzero(count)
     ids, place = np.unique(rep, return_inverse=True)
-    least = _least_labels(place[x], place[y])
+    least = least_labels(place[x], place[y])
     joined = np.flatnonzero(least != np.arange(len(least)))
     a = ids[joined].tolist() + rep[some].tolist()
     return a, ids[least[joined]].tolist() + [None] * len(some), [None] * len(joined) + count[some].astype(int).tolist()

@@ -6,9 +6,10 @@ often as for minima alone.  BANDS bands of ROWS values bring documents of simila
 a common bucket with probability 1 - (1 - s**ROWS)**BANDS: over 0.9999 at 0.8.
 
 Documents with equal shingle sets are one class.  A class is first confirmed against the
-least class of a bucket, not against all of them; only classes that are still in different
-components, though they share a bucket, are compared beyond that.  So a group of
-thousands of near copies costs links in proportion to its size, and yet no bucket is cut.
+least class of a bucket, not against all of them.  Buckets that then still hold several
+components are compared whole, in blocks of BLOCK members, by counting shared shingles
+within a task; a task gives back no pairs but links that join components, fewer than it
+has members.  So no pairs of a group are written, and yet no bucket is cut.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch
-from ._components import components
+from ._components import components, least_labels
 from ._minimizers import mix64
 from .substring_dedup import split_words
 
@@ -31,7 +32,8 @@ _EDGE = np.uint64(0xC2B2AE3D27D4EB4F)  # an odd constant that seals short texts
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
-STARS = 2  # rounds against a bucket's least class before all that is left is compared
+BLOCK = 256  # members of a bucket that are compared in one piece
+_COLUMNS = 8192  # shingles that are counted at a time
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -114,6 +116,69 @@ def _set_rows(width: int):
     return sets
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    sizes = [len(s) for s in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    many = times[column] > 1
+    row, column = row[many], (np.cumsum(times > 1) - 1)[column[many]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        i, j = np.searchsorted(column, [low, low + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[row[i:j], column[i:j] - low] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _joining(rep: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one piece of a bucket."""
+    names = np.array(component)
+    if (names == names[0]).all():
+        return []
+    both, n = _shared(sets), np.array([len(s) for s in sets])
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (names[:, None] != names[None, :])
+    x, y = np.nonzero(np.triu(linked))
+    if not len(x):
+        return []
+    least = least_labels(x, y)
+    return [(rep[i], rep[least[i]]) for i in np.flatnonzero(least != np.arange(len(least))).tolist()]
+
+
+def _join_components(percent: int, at_once: int = 1000):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = None, ([], [], [])
+        found: list[tuple[int, int]] = []
+
+        def links() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+            found.clear()
+            return out
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "left", "right", "rep", "component")]
+            sets = batch.column("set")
+            for i, (key, left, right, rep, component) in enumerate(zip(*columns, strict=True)):
+                if (key, left, right) != piece:
+                    if len(held[0]) > 1:
+                        found += _joining(*held, percent)
+                    piece, held = (key, left, right), ([], [], [])
+                for to, x in zip(held, (rep, component, sets[i].values.to_numpy().view(np.uint64)), strict=True):
+                    to.append(x)
+            if len(found) >= at_once:
+                yield links()
+        if len(held[0]) > 1:
+            found += _joining(*held, percent)
+        yield links()
+
+    return join
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Link documents with 100 * |A and B| >= percent * |A or B| over their shingle sets.
 
@@ -148,20 +213,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = scratch.keep(confirmed(first.groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b"))))
     labels = components(links, scratch)
 
-    for last in [False] * (STARS - 1) + [True]:
-        named = members.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("key").agg(F.min(F.struct("component", "rep", "n")).alias("p"), F.max("component").alias("other")).where("p.component <> other").drop("other")
-        left = scratch.keep(named.join(mixed, "key"))
-        if last:
-            # All pairs of a bucket that are not in one component yet.
-            x = left.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = left.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b"))
-        else:
-            pairs = left.where("component <> p.component").select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).where(fits("n_a", "n_b"))
-        more = confirmed(pairs.select("a", "b").distinct())
-        links = scratch.keep(links.union(more))
-        labels = components(links, scratch)
+    named = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    entries = named.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    entries = entries.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.select("key", "rep", "component", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
+    pieces = entries.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    links = scratch.keep(links.union(pieces.mapInArrow(_join_components(percent), "a long, b long")).distinct())
+    labels = components(links, scratch)
 
     scratch.drop_all_but(signed, classes, labels)
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
