@@ -7,6 +7,8 @@ multiples of the window; a document that crosses a cut gets a piece on either si
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,27 +22,61 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 END = 2
-_REMEMBERED = 300_000  # distinct words whose ids a worker keeps
+_REMEMBERED = 1_200_000  # distinct words whose ids a worker keeps, about 200 MB
 _GROUP = 1000  # partitions in a group of the two-level prefix sums
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable ones stand
+    for themselves, the others follow 255 in their order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_AS_WRITTEN = _byte_characters()
+
+
+def _letters(word: str) -> str | None:
+    """A word of letters alone as the tokenizer's steps before its merges leave it: composed,
+    each letter in lower case, one character a byte.  None for any other word."""
+    if not word.isalpha():
+        return None
+    folded = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+    return folded.encode().decode("latin-1").translate(_AS_WRITTEN) if folded.isalpha() else None
+
+
 class _Words(dict):
     """UTF-8 words without ASCII blanks, to their ids.
 
-    The tokenizer never joins what blanks separate, so a text's ids are its words' ids.
+    The tokenizer never joins what blanks separate, so a text's ids are its words' ids.  It
+    folds case and parts letters from punctuation, so a word that is new only by these has
+    its ids from known ones.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # reading it anew copies it
+        steps = json.loads(self.tokenizer.to_str())
+        self.plain = [n["type"] for n in steps["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and any(
+            x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in steps["pre_tokenizer"]["pretokenizers"]
+        )
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, self.kind).tobytes()
+        if word.isascii() and (low := word.lower()) != word:
+            out = self[low]
+        elif word[-1:] in b".,;:!?" and (word[:-1].isalpha() or word[:-1].decode().isalpha()):
+            out = self[word[:-1]] + self[word[-1:]]
+        elif self.plain and (piece := _letters(word.decode())):
+            out = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+        else:
+            out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        self[word] = out
         return out
 
 
