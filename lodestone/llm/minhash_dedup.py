@@ -32,7 +32,7 @@ _EDGE = np.uint64(0xC2B2AE3D27D4EB4F)  # an odd constant that seals short texts
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
-BLOCK = 256  # members of a bucket that are compared in one piece
+BLOCK = 1024  # members of a bucket that are compared in one piece
 _COLUMNS = 8192  # shingles that are counted at a time
 
 
