@@ -9,14 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import l2_distance, recall_at_k, vector_report
-from .operators import assign, candidates, cap_round_robin, exact_topk, lloyd_step, rank_candidates, rank_clusters, seeded_centroids
+from .functions import l2_distance, mean_recall, recall_at_k, vector_dim, vector_report
+from .operators import assign, candidates, cap_round_robin, exact_search_all, exact_topk, ivf_search_all, lloyd_step, probes_for, rank_candidates, rank_clusters, seeded_centroids
 from .plans import VectorSession, VectorTopKOptions
 from .scratch import new_path
 from .sources import IndexBuilder
 from .sources.tables import embedding_at
 
 K, CLUSTERS, NPROBE, CAP = 10, 16, 3, 40
+EVERY, RECALL = 100, 0.95  # searches of every 100th id; what the probes are measured to find
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
 
@@ -233,6 +234,58 @@ def ivf_index_search(spark, sf_dir):
     return _built(spark, sf_dir).search(q, K, NPROBE, where="label >= 1").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+def _of_queries(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("key") % EVERY == 0).select(F.col("key").alias("query_id"), "vector")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("vec_id").cast("long").alias("key"), "cluster_id", F.col("embedding").alias("vector"))
+
+
+@cache
+def _default_index(app: str, source: str) -> tuple[str, int]:
+    """The path of an index with a number of clusters that follows the rows, and how many of them to probe."""
+    spark, path = SparkSession.active(), f"{new_path(SparkSession.active())}-default"
+    index = IndexBuilder(spark, source, "embedding").build_new(path)
+    return path, probes_for(RECALL, _keyed(index.assigned), index.matrix(), K)
+
+
+def _search_all(spark, sf_dir) -> tuple[DataFrame, DataFrame, int, int]:
+    """The index's answers to all searches, those of brute force, probes and clusters."""
+    from .sources import read_index
+
+    path, nprobe = _default_index(spark.sparkContext.applicationId, f"{sf_dir}/embeddings.parquet")
+    index = read_index(spark, path)
+    matrix, rows = index.matrix(), _keyed(index.assigned)
+    found = ivf_search_all(_of_queries(rows), rows, matrix, K, nprobe)
+    return found, exact_search_all(_of_queries(rows), rows, K, index.manifest.dim), nprobe, len(matrix)
+
+
+_ALL = "query_id", "key AS vec_id", "place", "round(distance, 6) AS distance"
+
+
+@query(f"""SELECT query_id, vec_id, place, round(d, 6) AS distance FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id))::INTEGER AS place FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0))
+WHERE place <= {K}""")
+def exact_search_every_100th(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    rows = _keyed(df.withColumn("cluster_id", F.lit(0)))
+    return exact_search_all(_of_queries(rows), rows, K, vector_dim(df, "embedding")).selectExpr(*_ALL)
+
+
+@query()
+def ivf_search_every_100th(spark, sf_dir):
+    """Around every 100th row among all rows, with as many probes as find RECALL on a sample."""
+    return _search_all(spark, sf_dir)[0].selectExpr(*_ALL)
+
+
+@query()
+def ivf_recall_every_100th(spark, sf_dir):
+    """The recall of ivf_search_every_100th against brute force: of all searches, and the least."""
+    found, truth, nprobe, clusters = _search_all(spark, sf_dir)
+    return mean_recall(found, truth, "query_id", "key").withColumns({"nprobe": F.lit(nprobe), "clusters": F.lit(clusters)})
+
+
 @query("SELECT vec_id, label FROM embeddings")
 def ivf_index_table(spark, sf_dir):
     return _built(spark, sf_dir).table.select("vec_id", "label")

@@ -123,6 +123,17 @@ class IvfIndex:
             return self.spark.read.parquet(f"{self.folder}/rows").drop(*HIDDEN)
         return self.spark.read.parquet(self.path)
 
+    @property
+    def assigned(self) -> DataFrame:
+        """The source's rows and columns, and cluster_id."""
+        if self.manifest.layout == "rows":
+            return self.spark.read.parquet(f"{self.folder}/rows").withColumnRenamed("_ivf_cluster", "cluster_id").drop(*HIDDEN)
+        return identified(self.spark, self.path).join(self.postings, ["_ivf_file", "_ivf_row"]).drop(*HIDDEN)
+
+    def matrix(self) -> np.ndarray:
+        """The centroids in the order of their ids: at most ceil(sqrt(rows)) by default."""
+        return np.array([r["centroid"] for r in self.centroids.orderBy("cluster_id").collect()])
+
     def check_query(self, query: Sequence[float], column: str | None = None) -> list[float]:
         q = [float(x) for x in query]
         if len(q) != self.manifest.dim:
