@@ -27,10 +27,11 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, 0.8 or more.
 
-    Rows that share id and text are one document.
+    Rows that share id and text are one document; those that share the id alone are not.
     """
-    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(Scratch(spark).keep(gone), "doc_id", "left_anti").select(*docs.columns)
+    told = docs.withColumn("__text", F.md5(F.col("text").cast("binary")))
+    gone = minhash_dedup.near_duplicates(told, tag="__text").where("NOT kept").select("doc_id", F.col("tag").alias("__text")).distinct()
+    return told.join(Scratch(spark).keep(gone), ["doc_id", "__text"], "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

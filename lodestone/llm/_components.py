@@ -10,8 +10,8 @@ from ._common import Scratch
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for each node of ``links`` (columns a and b); a component is
-    named by its smallest node.
+    """(node, component) for each node of ``links`` (columns a and b, of any type with an
+    order); a component is named by its smallest node.
 
     Each round takes the least label among a node's neighbours, then the label of that
     label, so chains shrink by half a round.  Labels stay in the shared folder.

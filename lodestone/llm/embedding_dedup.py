@@ -85,14 +85,15 @@ def _code(bits: int, bands: int):
     return code
 
 
-_FOUND = "a long, b long, n long"
+_FOUND = "a long, a_which long, b long, b_which long, n long"
 
 
-def _weigh(group: dict, threshold: float) -> tuple[list, list, list]:
-    """Links among the rows of whole buckets: (a, b, None) to join, (a, None, n) to count."""
+def _weigh(group: dict, threshold: float) -> tuple[list, ...]:
+    """Links among the rows of whole buckets, which rep and which name: (a, a_which, b,
+    b_which, None) to join, (a, a_which, None, None, n) to count."""
     n = len(group["rep"])
     dims = np.array([len(v) for v in group["embedding"]])
-    rep, weight, key = np.array(group["rep"]), np.array(group["weight"]), np.array(group["key"])
+    rep, weight, key = np.array([group["rep"], group["which"]]).T, np.array(group["weight"]), np.array(group["key"])
     side, left, right = np.array(group["side"]), np.array(group["left"]), np.array(group["right"])
     keys = np.array(group["keys"], np.int64)
     band = (keys == key[:, None]).argmax(1)
@@ -130,36 +131,38 @@ def _weigh(group: dict, threshold: float) -> tuple[list, list, list]:
             break
         y = x + d
         # A block against another one: pairs across; a block against itself: all.
-        use = (dims[x] == dims[y]) & ((left[x] == right[x]) | (side[x] != side[y])) & (rep[x] != rep[y])
+        use = (dims[x] == dims[y]) & ((left[x] == right[x]) | (side[x] != side[y]))
         x, y = x[use], y[use]
         for dim in units:
             same = dims[x] == dim
             for low in range(0, int(same.sum()), _PAIRS):
                 weigh(x[same][low : low + _PAIRS], y[same][low : low + _PAIRS])
     if not links or not sum(len(x) for x, _ in links):
-        return [], [], []
+        return [], [], [], [], []
     x, y = (np.concatenate(z) for z in zip(*links, strict=True))
     count = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
     some = np.flatnonzero(count)
-    ids, place = np.unique(rep, return_inverse=True)
+    ids, place = np.unique(rep, axis=0, return_inverse=True)
+    place = place.ravel()
     least = least_labels(place[x], place[y])
     joined = np.flatnonzero(least != np.arange(len(least)))
-    a = ids[joined].tolist() + rep[some].tolist()
-    return a, ids[least[joined]].tolist() + [None] * len(some), [None] * len(joined) + count[some].astype(int).tolist()
+    a, b = np.concatenate([ids[joined], rep[some]]), ids[least[joined]]
+    none = [None] * len(some)
+    return a[:, 0].tolist(), a[:, 1].tolist(), b[:, 0].tolist() + none, b[:, 1].tolist() + none, [None] * len(joined) + count[some].astype(int).tolist()
 
 
 def _compare(threshold: float, at_once: int = 4000):
-    names = ("rep", "weight", "embedding", "keys", "code", "factor", "key", "side", "left", "right")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    names = ("rep", "which", "weight", "embedding", "keys", "code", "factor", "key", "side", "left", "right")
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in _FOUND.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in names}
 
         def done(upto: int) -> pa.RecordBatch:
-            a, b, n = _weigh({c: held[c][:upto] for c in names}, threshold)
+            found = _weigh({c: held[c][:upto] for c in names}, threshold)
             for c in names:
                 held[c] = held[c][upto:]
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+            return pa.record_batch([pa.array(x, pa.int64()) for x in found], schema=schema)
 
         for batch in batches:
             for low in range(0, batch.num_rows, at_once):
@@ -181,7 +184,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Returns vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
     reachable) and kept (vec_id = component_id), a row for each row of ``vectors``
-    (vec_id, embedding, label).  Vectors with a null label, null or zero vectors, those
+    (vec_id, embedding, label); rows that share an id are told apart by vector and label.  Vectors with a null label, null or zero vectors, those
     with null or non-finite components, and rows with a null id link with nothing; so do
     vectors of different lengths.  Equal vectors are one class that counts with its size.
     A null id has no component and is kept.  No link is below the threshold; links at it
@@ -193,7 +196,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
     classes = rows.where("embedding IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    classes = classes.withColumn("which", F.xxhash64("embedding"))  # tells classes of one id apart
+    classes = classes.withColumn("which", F.xxhash64("label", "embedding"))  # tells classes of one id apart
     classes = scratch.keep(classes)
     bits, bands = layout(classes.count(), threshold)
     coded = scratch.keep(classes.mapInArrow(_code(bits, bands), "rep long, which long, label string, weight long, embedding array<double>, keys array<long>, code binary, factor binary"))
@@ -201,17 +204,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     entries = coded.select("rep", "which", "label", F.explode("keys").alias("key"))
     shared = entries.groupBy("label", "key").agg(F.count("*").alias("members")).where("members > 1")
     entries = entries.join(shared, ["label", "key"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    entries = entries.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("side", F.pmod(F.xxhash64("rep", "which"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     entries = entries.withColumn("other", other).select("rep", "which", "label", "key", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
     pieces = entries.join(coded.drop("label"), ["rep", "which"]).repartition("label", "key", "left", "right").sortWithinPartitions("label", "key", "left", "right")
     found = scratch.keep(pieces.mapInArrow(_compare(threshold), _FOUND))
 
-    counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    labels = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
+    counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep"), F.col("a_which").alias("which")).agg(F.sum("n").alias("linked"))
+    name = lambda id, which: F.struct(F.col(id).alias("rep"), F.col(which).alias("which"))
+    labels = components(found.where("b IS NOT NULL").select(name("a", "a_which").alias("a"), name("b", "b_which").alias("b")), scratch)
     scratch.drop_all_but(classes, found, labels)
-    of_class = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("label", "embedding", "weight", "linked", F.coalesce("component", "rep").alias("found"))
+    of_class = classes.join(counts, ["rep", "which"], "left").join(labels.select("node.*", "component"), ["rep", "which"], "left")
+    of_class = of_class.select("label", "embedding", "weight", "linked", F.coalesce(F.col("component.rep"), "rep").alias("found"))
     named = rows.join(of_class, ["label", "embedding"], "left")
     named = named.select(
         "vec_id",

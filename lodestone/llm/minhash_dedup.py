@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch
@@ -83,24 +83,28 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def _texts(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for low in range(0, batch.num_rows, at_once):
             part = batch.slice(low, at_once)
-            yield part.column("doc_id"), [t or b"" for t in part.column("text").to_pylist()]
+            yield part, [t or b"" for t in part.column("text").to_pylist()]
+
+
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    found = [_digest(s) if len(s) else (0, 0) for s in sets]
+    return [pa.array([d[i] for d in found], pa.int64()) for i in (0, 1)]
 
 
 def _sign(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for part, texts in _texts(batches):
             sets = shingle_sets(texts, width)
-            digests = [_digest(s) if len(s) else (0, 0) for s in sets]
             keys = [bands(signature(s)).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             values = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.record_batch(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "n_shingles", "d1", "d2", "keys"],
+                [part.column("doc_id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), pa.ListArray.from_arrays(offsets, values)],
+                names=["doc_id", "tag", "n_shingles", "d1", "d2", "keys"],
             )
 
     return sign
@@ -108,10 +112,10 @@ def _sign(width: int):
 
 def _set_rows(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for part, texts in _texts(batches):
             found = shingle_sets(texts, width)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            yield pa.record_batch([ids, pa.ListArray.from_arrays(offsets, np.concatenate(found).view(np.int64))], names=["doc_id", "set"])
+            yield pa.record_batch([part.column("doc_id"), *_digests(found), pa.ListArray.from_arrays(offsets, np.concatenate(found).view(np.int64))], names=["doc_id", "d1", "d2", "set"])
 
     return sets
 
@@ -134,9 +138,10 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _joining(rep: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _joining(rep: list[tuple], component: list[tuple], sets: list[np.ndarray], percent: int) -> list[tuple]:
     """Links that join the components of one piece of a bucket."""
-    names = np.array(component)
+    number = {c: i for i, c in enumerate(dict.fromkeys(component))}
+    names = np.array([number[c] for c in component])
     if (names == names[0]).all():
         return []
     both, n = _shared(sets), np.array([len(s) for s in sets])
@@ -145,23 +150,24 @@ def _joining(rep: list[int], component: list[int], sets: list[np.ndarray], perce
     if not len(x):
         return []
     least = least_labels(x, y)
-    return [(rep[i], rep[least[i]]) for i in np.flatnonzero(least != np.arange(len(least))).tolist()]
+    return [rep[i] + rep[least[i]] for i in np.flatnonzero(least != np.arange(len(least))).tolist()]
 
 
 def _join_components(percent: int, at_once: int = 1000):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(f"{x}{i}", pa.int64()) for x in "ab" for i in range(3)])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, held = None, ([], [], [])
-        found: list[tuple[int, int]] = []
+        found: list[tuple] = []
 
         def links() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+            out = pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in range(len(schema))], schema=schema)
             found.clear()
             return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "left", "right", "rep", "component")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "left", "right")]
+            columns += [list(zip(*(batch.column(f"{x}{i}").to_pylist() for i in range(3)), strict=True)) for x in "rc"]
             sets = batch.column("set")
             for i, (key, left, right, rep, component) in enumerate(zip(*columns, strict=True)):
                 if (key, left, right) != piece:
@@ -179,26 +185,37 @@ def _join_components(percent: int, at_once: int = 1000):
     return join
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _class(id: str = "doc_id") -> Column:
+    """What names a class: its least doc_id, which another class may share, and its digest."""
+    return F.struct(F.col(id).alias("id"), "d1", "d2")
+
+
+def _flat(column: str, to: str) -> list[Column]:
+    return [F.col(f"{column}.{x}").alias(f"{to}{i}") for i, x in enumerate(("id", "d1", "d2"))]
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tag: str | None = None) -> DataFrame:
     """Link documents with 100 * |A and B| >= percent * |A or B| over their shingle sets.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and kept
     (doc_id = component_id), a row for each row of ``docs``.  Null and empty texts, and
     rows with a null id, link with nothing; a row with a null id has no component and is
-    kept.  Rows that share an id are told apart by their texts.  ``percent`` under 70 would
-    need other bands.
+    kept.  Rows that share an id are told apart by their texts; ``tag``, a string column
+    that is returned too, lets the caller do so.  ``percent`` under 70 would need other bands.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = scratch.keep(texts.mapInArrow(_sign(width), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
+    signed = scratch.keep(texts.mapInArrow(_sign(width), "doc_id long, tag string, n_shingles long, d1 long, d2 long, keys array<long>"))
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("keys").alias("keys")))
+    classes = scratch.keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("keys").alias("keys")).select(_class("rep").alias("rep"), "n", "keys"))
 
     rows = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1").drop("m")
     members = scratch.keep(rows.join(shared, "key"))
     wanted = scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, set array<long>"))
+    # The texts of the ids, and of these the sets of the classes.
+    sets = texts.join(wanted.select("doc_id.id").distinct().withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, d1 long, d2 long, set array<long>")
+    sets = scratch.keep(sets.select(_class().alias("doc_id"), "set").join(wanted, "doc_id", "left_semi"))
 
     fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
@@ -217,14 +234,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     entries = named.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     entries = entries.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.select("key", "rep", "component", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
-    pieces = entries.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    links = scratch.keep(links.union(pieces.mapInArrow(_join_components(percent), "a long, b long")).distinct())
+    entries = entries.select("key", "rep", *_flat("rep", "r"), *_flat("component", "c"), F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
+    pieces = entries.join(sets.withColumnRenamed("doc_id", "rep"), "rep").drop("rep").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    joined = pieces.mapInArrow(_join_components(percent), ", ".join(f"{x}{i} long" for x in "ab" for i in range(3)))
+    joined = joined.select(*(F.struct(F.col(f"{x}0").alias("id"), F.col(f"{x}1").alias("d1"), F.col(f"{x}2").alias("d2")).alias(x) for x in "ab"))
+    links = scratch.keep(links.union(joined).distinct())
     labels = components(links, scratch)
 
     scratch.drop_all_but(signed, classes, labels)
-    of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
+    of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("rep.d1", "rep.d2", F.coalesce("component", "rep")["id"].alias("found"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
-    named = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    named = signed.select("doc_id", "tag", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    named = named.select("doc_id", *["tag"] * bool(tag), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
