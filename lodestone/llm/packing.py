@@ -51,7 +51,8 @@ class _Words(dict):
 
     The tokenizer never joins what blanks separate, so a text's ids are its words' ids.  It
     folds case and parts letters from punctuation, so a word that is new only by these has
-    its ids from known ones.
+    its ids from known ones.  Added tokens are found before case is folded, so a word that
+    holds one but for its case goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -63,12 +64,13 @@ class _Words(dict):
         self.plain = [n["type"] for n in steps["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and any(
             x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in steps["pre_tokenizer"]["pretokenizers"]
         )
+        self.added = [t["content"].lower().encode() for t in steps["added_tokens"]]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _REMEMBERED:
             self.clear()
-        if word.isascii() and (low := word.lower()) != word:
+        if word.isascii() and (low := word.lower()) != word and not any(t in low for t in self.added):
             out = self[low]
         elif word[-1:] in b".,;:!?" and (word[:-1].isalpha() or word[:-1].decode().isalpha()):
             out = self[word[:-1]] + self[word[-1:]]
