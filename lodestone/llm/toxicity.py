@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # labelled documents that a model is fitted on, at most
-CANDIDATES = 50_000  # features that the counts of clean documents are taken of, at most
 LEXICON = 1_000  # entries, at most
 PREFIXES = (4, 5, 6)
 SHARDS = 4
@@ -200,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
         yield pa.record_batch([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     found = sample.where("toxic = 1").mapInArrow(toxic_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    toxic = {r["feature"]: r["n"] for r in found.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
+    # All of them, as rare ones may be the precise ones; the sample bounds their number.
+    toxic = {r["feature"]: r["n"] for r in found.collect()}
     names = docs.sparkSession.sparkContext.broadcast(set(toxic))
 
     def clean_features(batches):
