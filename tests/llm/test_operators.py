@@ -403,12 +403,31 @@ def test_toxicity(spark, empty):
 def test_label_model_discounts_copies():
     r = np.random.default_rng(1)
     y = r.random(6000) < 0.3
-    one = np.where(r.random(6000) < 0.7, y, ~y) * 2 - 1
-    other = np.where(r.random(6000) < 0.85, y, ~y) * 2 - 1
-    votes = np.stack([one] * 5 + [other], 1)
-    q = toxicity.label_model(votes.astype(float), y)
-    split = (one == 1) & (other == -1)
-    assert q[split].mean() < 0.5  # five copies of a weak voter don't outvote a better one
+    voter = lambda accuracy: np.where(r.random(6000) < accuracy, y, ~y) * 2 - 1
+    one, others = voter(0.7), [voter(0.85), voter(0.85)]
+    votes = np.stack([one] * 3 + others, 1).astype(float)
+    q = toxicity.label_model(votes, 0.5 + 0.4 * (votes.mean(1)))
+    split = (one == 1) & (others[0] == -1) & (others[1] == -1)
+    assert q[split].mean() < 0.5  # three copies of a weak voter don't outvote two better ones
+    assert ((q > 0.5) == y).mean() > 0.85
+
+
+def test_patterns_vote_without_a_lexicon():
+    none = toxicity.Model({}, [], np.zeros(toxicity.N_VOTERS), 0.0)
+    fires = lambda t: [i for i, v in enumerate(none.votes(t, *none.hits(t))[-toxicity.PATTERNS :]) if v]
+    filler = prose(40)
+    assert fires("no " * 30) == [0] and fires("ABC DEF " * 15) == [1] and fires("a b! " * 15) == [2] and fires("#a #b " * 30) == [3] and fires("a b") == [4]
+    assert fires("") == [] and fires(filler.lower()) == []
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.1", 0.9)])
+def test_toxicity_of_held_out_documents(spark, sf, least):
+    """Recall and precision on labels that nothing was learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), labels).where("held_out").join(labels, "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert n.get((1, 1), 0) >= least * (n.get((1, 1), 0) + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * (n.get((0, 1), 0) + n.get((0, 0), 0))
 
 
 # -- 10: packing -------------------------------------------------------------------------
