@@ -81,41 +81,47 @@ WITH RECURSIVE d AS (
 ), m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, line.n::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-         len(string_split(t, chr(10))) AS n_lines, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(t, '[A-Z]')) AS n_upper
+         len(string_split(t, chr(10))) AS n_lines, len(regexp_extract_all(t, '\\p{{L}}')) AS n_letters, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper
   FROM d JOIN line USING (doc_id) LEFT JOIN cov USING (doc_id)
 ), r AS (
   SELECT *, word_chars::DOUBLE / greatest(n_words, 1) AS mean, n_symbols::DOUBLE / greatest(n_words, 1) AS sym,
+         n_symbols::DOUBLE / greatest(word_chars, 1) AS share, n_letters::DOUBLE / greatest(word_chars, 1) AS letters,
          n_dup_lines::DOUBLE / n_lines AS dup, n_repeat_words::DOUBLE / greatest(n_words, 1) AS rep, n_upper::DOUBLE / greatest(n_letters, 1) AS up FROM m
 ), voted AS (
-  SELECT *, [CASE WHEN n_words < 20 THEN 0 WHEN n_words >= 100 THEN 1 ELSE -1 END,
+  SELECT *, [CASE WHEN n_words < 100 THEN 0 WHEN n_words >= 200 THEN 1 ELSE -1 END,
     CASE WHEN mean < 2 OR mean > 15 THEN 0 WHEN mean BETWEEN 3 AND 10 THEN 1 ELSE -1 END,
+    CASE WHEN mean < 3.5 OR mean > 10 THEN 0 WHEN mean BETWEEN 4 AND 9 THEN 1 ELSE -1 END,
     CASE WHEN sym > 0.1 THEN 0 WHEN sym <= 0.02 THEN 1 ELSE -1 END,
+    CASE WHEN share > 0.03 THEN 0 WHEN share <= 0.005 THEN 1 ELSE -1 END,
+    CASE WHEN letters < 0.8 THEN 0 WHEN letters >= 0.9 THEN 1 ELSE -1 END,
     CASE WHEN n_dup_lines >= 3 AND dup > 0.3 THEN 0 WHEN dup = 0 THEN 1 ELSE -1 END,
+    CASE WHEN n_dup_lines >= 1 THEN 0 ELSE 1 END,
     CASE WHEN rep > 0.3 THEN 0 WHEN rep <= 0.1 THEN 1 ELSE -1 END,
-    CASE WHEN up > 0.5 THEN 0 WHEN up <= 0.15 THEN 1 ELSE -1 END] AS v FROM r
+    CASE WHEN rep > 0.2 THEN 0 WHEN rep <= 0.05 THEN 1 ELSE -1 END,
+    CASE WHEN up > 0.5 THEN 0 WHEN up <= 0.15 THEN 1 ELSE -1 END,
+    CASE WHEN up > 0.2 THEN 0 WHEN up <= 0.1 THEN 1 ELSE -1 END] AS v FROM r
 ), pat AS (
   SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS t FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)
 ), em(round, c, g, b) AS (
-  SELECT 0, 1.0::DOUBLE, [0.1::DOUBLE, 0.1, 0.1, 0.1, 0.1, 0.1], [-4.0::DOUBLE, -4, -4, -4, -4, -4]
+  SELECT 0, 1.0::DOUBLE, list_transform(range(12), lambda j: 0.1::DOUBLE), list_transform(range(12), lambda j: -2.0::DOUBLE)
   UNION ALL
   SELECT round + 1, ln((list_sum(q) + 1) / (total - list_sum(q) + 1)),
          list_transform(ab, lambda x: ln(x.a / (1 - x.b))), list_transform(ab, lambda x: ln((1 - x.a) / x.b))
   FROM (
     SELECT round, q, total, list_transform(rb, lambda x: struct_pack(a := x.a, b := greatest(x.b, 1 - x.a))) AS ab FROM (
-      SELECT round, q, total, list_transform(range(1, 7), lambda j: struct_pack(
-        a := (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] = 1 THEN q[i] ELSE 0 END)) + 0.998 * 4 * total)
-             / (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] >= 0 THEN q[i] ELSE 0 END)) + 4 * total),
-        b := least(0.9995, greatest(0.02,
-             (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] = 0 THEN t[i].n - q[i] ELSE 0 END)) + 1)
-             / (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] >= 0 THEN t[i].n - q[i] ELSE 0 END)) + 2))))) AS rb, t
+      SELECT round, q, total, list_transform(range(1, 13), lambda j: struct_pack(
+        a := (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] = 1 THEN q[i] ELSE 0 END)) + 1)
+             / (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] >= 0 THEN q[i] ELSE 0 END)) + 2),
+        b := (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] = 0 THEN t[i].n - q[i] ELSE 0 END)) + 1)
+             / (list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].v[j] >= 0 THEN t[i].n - q[i] ELSE 0 END)) + 2))) AS rb, t
       FROM (
         SELECT em.round, pat.t, list_sum(list_transform(pat.t, lambda p: p.n)) AS total,
-               list_transform(pat.t, lambda p: p.n / (1 + exp(-(em.c + list_sum(list_transform(range(1, 7), lambda j:
+               list_transform(pat.t, lambda p: p.n / (1 + exp(-(em.c + list_sum(list_transform(range(1, 13), lambda j:
                  CASE p.v[j] WHEN 1 THEN em.g[j] WHEN 0 THEN em.b[j] ELSE 0 END)))))) AS q
         FROM em, pat WHERE em.round < 30)))
 ), model AS (SELECT c, g, b FROM em WHERE round = 30)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND odds >= 0 AS kept FROM (
   SELECT voted.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         model.c + list_sum(list_transform(range(1, 7), lambda j: CASE v[j] WHEN 1 THEN model.g[j] WHEN 0 THEN model.b[j] ELSE 0 END)) AS odds
+         model.c + list_sum(list_transform(range(1, 13), lambda j: CASE v[j] WHEN 1 THEN model.g[j] WHEN 0 THEN model.b[j] ELSE 0 END)) AS odds
   FROM voted, model)
 """

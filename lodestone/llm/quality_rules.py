@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ._common import SPACE, WORD, Scratch, n_words
 
 ROUNDS = 30
-TRUST = (4.0, 0.998)  # weight and mean of the prior of a rule's accuracy on good texts
-FIRST = (1.0, 0.1, -4.0)  # where the log odds of good, of a good vote and of a bad vote start
+FIRST = (1.0, 0.1, -2.0)  # where the log odds of good, of a good vote and of a bad vote start
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = "\x20\t\n\x0b\x0c\r"
 
@@ -61,8 +60,8 @@ def measure(docs: DataFrame) -> DataFrame:
         dup_lines.cast("long").alias("n_dup_lines"),
         F.when(F.size(F.split(F.trim(text, F.lit(_BLANKS)), f"[{SPACE}]+", 4)) >= 3, repeats).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        count("[A-Za-z]").alias("n_letters"),
-        count("[A-Z]").alias("n_upper"),
+        count(r"\p{L}").alias("n_letters"),
+        count(r"\p{Lu}").alias("n_upper"),
     )
 
 
@@ -71,18 +70,28 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> list[Column]:
-    """Each votes 1 (good), 0 (bad) or -1 (abstains); the thresholds are this module's."""
+    """Each votes 1 (good), 0 (bad) or -1 (abstains); the thresholds are this module's.
+
+    Faults that texts show plainly have a lax rule and a strict one, and length and repeated
+    lines a rule that many good texts break: which votes to believe is left to the model.
+    """
     n, c = F.col, lambda name: F.col(name).cast("double")
-    words = F.greatest(c("n_words"), F.lit(1.0))
+    words, letters, chars = (F.greatest(c(x), F.lit(1.0)) for x in ("n_words", "n_letters", "word_chars"))
     mean, symbols, repeats = c("word_chars") / words, c("n_symbols") / words, c("n_repeat_words") / words
-    upper, lines = c("n_upper") / F.greatest(c("n_letters"), F.lit(1.0)), c("n_dup_lines") / c("n_lines")
+    upper, lines = c("n_upper") / letters, c("n_dup_lines") / c("n_lines")
     return [
-        _vote(n("n_words") >= 100, n("n_words") < 20),
+        _vote(n("n_words") >= 200, n("n_words") < 100),
         _vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 15.0)),
+        _vote(mean.between(4.0, 9.0), (mean < 3.5) | (mean > 10.0)),
         _vote(symbols <= 0.02, symbols > 0.1),
+        _vote(c("n_symbols") / chars <= 0.005, c("n_symbols") / chars > 0.03),
+        _vote(c("n_letters") / chars >= 0.9, c("n_letters") / chars < 0.8),
         _vote(lines == 0.0, (n("n_dup_lines") >= 3) & (lines > 0.3)),
+        _vote(n("n_dup_lines") == 0, n("n_dup_lines") >= 1),
         _vote(repeats <= 0.1, repeats > 0.3),
+        _vote(repeats <= 0.05, repeats > 0.2),
         _vote(upper <= 0.15, upper > 0.5),
+        _vote(upper <= 0.1, upper > 0.2),
     ]
 
 
@@ -93,10 +102,9 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float,
     all rounds of expectation-maximisation over them; without rows the model is where it
     starts.  A rule has two accuracies: how often it is right where it votes on good texts,
     a, and on bad texts, b.  A rule may miss most bad texts, as each looks for one fault,
-    but never votes bad more often on good texts than on bad ones.  a has a prior as heavy
-    as TRUST[0] times all texts: faults are independent of each other, and without it
-    the commonest fault alone would come to mean bad.  At first a bad vote weighs much and
-    a good one little.
+    but never votes bad more often on good texts than on bad ones.  Both are counts of
+    texts and of one imagined text on either side, so data move them freely.  At the start
+    one bad vote among good ones is forgiven, and two are not.
     """
     if patterns.isEmpty():
         return FIRST[0], [FIRST[1]] * n_rules, [FIRST[2]] * n_rules
@@ -104,9 +112,8 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float,
     logit = f"(m.c + aggregate({every}, 0D, (s, j) -> s + CASE p.v[j] WHEN 1 THEN m.g[j] WHEN 0 THEN m.b[j] ELSE 0D END))"
     share = f"transform(t, p -> p.n / (1D + exp(-{logit})))"
     total = lambda what, when="true": f"aggregate(sequence(0, size(t) - 1), 0D, (s, i) -> s + IF({when}, {what}, 0D))"
-    sure = f"({TRUST[0]}D * {total('t[i].n')})"
-    right = f"(({total('q[i]', 't[i].v[j] = 1')} + {TRUST[1]}D * {sure}) / ({total('q[i]', 't[i].v[j] >= 0')} + {sure}))"
-    wrong = f"least(0.9995D, greatest(0.02D, ({total('t[i].n - q[i]', 't[i].v[j] = 0')} + 1D) / ({total('t[i].n - q[i]', 't[i].v[j] >= 0')} + 2D)))"
+    right = f"(({total('q[i]', 't[i].v[j] = 1')} + 1D) / ({total('q[i]', 't[i].v[j] >= 0')} + 2D))"
+    wrong = f"(({total('t[i].n - q[i]', 't[i].v[j] = 0')} + 1D) / ({total('t[i].n - q[i]', 't[i].v[j] >= 0')} + 2D))"
     odds = f"transform(transform({every}, j -> named_struct('a', {right}, 'b', {wrong})), y -> named_struct('a', y.a, 'b', greatest(y.b, 1D - y.a)))"
     step = (
         f"transform(array({share}), q -> transform(array({odds}), x -> named_struct("

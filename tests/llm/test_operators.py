@@ -363,15 +363,33 @@ def test_expectation_maximisation(spark):
     for _ in range(quality_rules.ROUNDS):  # the same rounds in plain Python
         q = {v: k / (1 + math.exp(-(c + sum(g[j] if x == 1 else b[j] if x == 0 else 0 for j, x in enumerate(v))))) for v, k in n.items()}
         c = math.log((sum(q.values()) + 1) / (sum(n.values()) - sum(q.values()) + 1))
-        sure = quality_rules.TRUST[0] * sum(n.values())
-        right = [(sum(q[v] for v in n if v[j] == 1) + quality_rules.TRUST[1] * sure) / (sum(q[v] for v in n if v[j] >= 0) + sure) for j in range(4)]
+        right = [(sum(q[v] for v in n if v[j] == 1) + 1) / (sum(q[v] for v in n if v[j] >= 0) + 2) for j in range(4)]
         bad = {v: n[v] - q[v] for v in n}
-        wrong = [min(0.9995, max(0.02, (sum(bad[v] for v in n if v[j] == 0) + 1) / (sum(bad[v] for v in n if v[j] >= 0) + 2))) for j in range(4)]
+        wrong = [(sum(bad[v] for v in n if v[j] == 0) + 1) / (sum(bad[v] for v in n if v[j] >= 0) + 2) for j in range(4)]
         wrong = [max(y, 1 - x) for x, y in zip(right, wrong)]
         g, b = [math.log(x / (1 - y)) for x, y in zip(right, wrong)], [math.log((1 - x) / y) for x, y in zip(right, wrong)]
     assert prior == pytest.approx(c) and up == pytest.approx(g) and down == pytest.approx(b)
 
 
+def test_weak_bad_votes_are_outvoted(spark):
+    """Not the filter that all rules must pass: one weak fault is forgiven, and bad texts go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality_rules.quality(docs).where("NOT base_failed").withColumn("n_bad", F.size(F.filter("votes", lambda v: v == 0)))
+    rows = judged.join(labels.select("doc_id", "quality"), "doc_id", "left").groupBy("n_bad", "kept", "quality").count().collect()
+    total = lambda test: sum(r["count"] for r in rows if test(r))
+    assert total(lambda r: r["n_bad"] == 1 and r["kept"]) > 1000 and total(lambda r: r["n_bad"] and not r["kept"]) > 500
+    assert total(lambda r: r["quality"] == 1 and r["kept"]) >= 0.99 * total(lambda r: r["quality"] == 1)
+    assert total(lambda r: r["quality"] == 0 and r["kept"]) <= 0.01 * total(lambda r: r["quality"] == 0)
+
+
+def test_a_rule_that_fires_on_good_texts_loses_its_say(spark):
+    """Two rules that agree on bad texts, and one that fires on half of all texts."""
+    votes = {(1, 1, 1): 500, (1, 1, 0): 500, (0, 0, 1): 40, (0, 0, 0): 40}
+    prior, up, down = quality_rules.fit(spark.createDataFrame([(list(v), c) for v, c in votes.items()], "votes array<int>, n long"), 3)
+    logit = {v: prior + sum(up[j] if x else down[j] for j, x in enumerate(v)) for v in votes}
+    assert {v: z >= 0 for v, z in logit.items()} == {v: v[0] == 1 for v in votes}
+
+
 # -- 4: toxicity -------------------------------------------------------------------------
 
 
