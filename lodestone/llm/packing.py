@@ -72,7 +72,7 @@ class _Words(dict):
             self.clear()
         if word.isascii() and (low := word.lower()) != word and not any(t in low for t in self.added):
             out = self[low]
-        elif word[-1:] in b".,;:!?" and (word[:-1].isalpha() or word[:-1].decode().isalpha()):
+        elif word[-1:] in b".,;:!?" and (word[:-1].isalpha() or _letters(word[:-1].decode())):
             out = self[word[:-1]] + self[word[-1:]]
         elif self.plain and (piece := _letters(word.decode())):
             out = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
