@@ -18,13 +18,22 @@ from ._common import Scratch, n_words
 
 DIGITS = 256
 LEVELS = 2
-_LETTERS = "[^A-Za-z]+"
+_NO_LETTERS = r"[^\p{L}]+"
 
 
-def size_and_quality(docs: DataFrame) -> DataFrame:
-    """``docs`` with size (words of the text) and quality (0.25 + share of A-Z and a-z)."""
-    letters = F.char_length(F.regexp_replace("text", _LETTERS, "")) / F.char_length("text")
-    return docs.withColumns({"size": n_words(F.col("text")), "quality": F.lit(0.25) + F.when(F.char_length("text") > 0, letters).otherwise(F.lit(0.0))})
+def share_of_letters() -> Column:
+    """0.25 + the share of letters, of any script, in the text: a weight to begin with."""
+    letters = F.char_length(F.regexp_replace("text", _NO_LETTERS, "")) / F.char_length("text")
+    return F.lit(0.25) + F.when(F.char_length("text") > 0, letters).otherwise(F.lit(0.0))
+
+
+def size_and_quality(docs: DataFrame, quality: Column | str | None = None) -> DataFrame:
+    """``docs`` with size (words of the text) and quality: the weight given, a column of
+    ``docs`` or an expression over it, or share_of_letters().  A weight that is null or not
+    above 0 counts as one in a million."""
+    weight = share_of_letters() if quality is None else F.col(quality) if isinstance(quality, str) else quality
+    least = F.lit(1e-6)
+    return docs.withColumns({"size": n_words(F.col("text")), "quality": F.greatest(F.coalesce(weight.cast("double"), least), least)})
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -95,12 +104,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     inside = rows.where(F.col("rest") - F.col("before") >= F.col("size") / 2).select("source", _order().alias("o"))
     cut = inside.groupBy("source", "o").agg(F.count("*").alias("n")).groupBy(F.col("source").alias("cut_source")).agg(F.max(F.struct("o", "n")).alias("c"))
     # No document of the split digit may fit: then the cut lies before all of it.
-    edge = left.select(F.col("at_source").alias("edge_source")).distinct()
     least = rows.groupBy(F.col("source").alias("least_source")).agg(F.min(_order()).alias("least"))
     plan = (
         plan.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
         .join(least, F.col("source").eqNullSafe(F.col("least_source")), "left")
-        .join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left")
     )
     return scratch.keep(
         plan.select(
@@ -124,15 +131,16 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return both.drop("__mix_key", "__mix_t", "__mix_source", "__mix_order", "epochs", "cut", "cut_rows")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, quality: Column | str | None = None) -> DataFrame:
     """Mix the sources of ``docs`` to ``weights``; the budget is the size of all of it.
 
+    ``quality`` weighs documents against each other within a source; see size_and_quality.
     Returns all rows and columns with size, quality, source_size, target, copies and taken
     (columns of these names are replaced).  A null or empty text has no size and is
     taken as its key falls; a null source is a source, the last; rows with the same id and
     size tie, and as many of them are taken as the budget holds.
     """
-    docs = size_and_quality(docs)
+    docs = size_and_quality(docs, quality)
     plan = plan_mix(Scratch(docs.sparkSession).keep(docs.select("doc_id", "source", "size", "quality")), weights, max_epochs)
     return apply_mix(docs, plan)
 
@@ -141,7 +149,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          0.25::DOUBLE + CASE WHEN length(text) > 0
-           THEN length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))::DOUBLE / length(text) ELSE 0 END AS quality
+           THEN length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / length(text) ELSE 0 END AS quality
   FROM documents
 ), k AS (
   SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE)
