@@ -23,9 +23,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = scratch.keep(least.join(jump, "component").select("node", F.least("component", "further").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        settled = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = new
-        if changed:
+        if settled:
             return labels
 
 
