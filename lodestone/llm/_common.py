@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..scratch import Scratch
 #: The characters that separate words, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+POINTS = 16  # that find the ends of a block
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,22 +33,50 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """``docs`` with an int column ``_block``, and the number of blocks.
+def id_blocks(docs: DataFrame, block_bytes: int | Callable[[int], int]) -> tuple[DataFrame, int, int]:
+    """``docs`` with an int column ``_block``, the number of blocks of ids, and of all blocks.
 
-    Blocks are ranges of doc_id of about ``block_bytes`` of text each: ids in a smaller
-    block are smaller, equal ids share a block, and null ids are in the last one.
+    Blocks are ranges of doc_id of about ``block_bytes`` of text each (a function gets all
+    bytes): ids in a smaller block are smaller, and equal ids share a block.  Rows with a
+    null id are dealt over the last blocks by their texts.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    size, null = F.coalesce(F.octet_length("text"), F.lit(0)), F.col("doc_id").isNull()
+    sums = docs.agg(F.sum(size).alias("all"), F.sum(F.when(null, size)).alias("null"), F.count_if(null).alias("nulls")).first()
+    total, unnamed = sums["all"] or 0, sums["null"] or 0
+    block_bytes = block_bytes if isinstance(block_bytes, int) else block_bytes(total)
+    n, spare = max(1, math.ceil((total - unnamed) / block_bytes)), math.ceil((unnamed + 1) / block_bytes) if sums["nulls"] else 0
+    cuts: list[float] = []
+    if n > 1:
+        # Quantiles of bytes, not rows: an id stands for each POINTS-th of a block that its text fills.
+        share = size * F.lit(POINTS / block_bytes)
+        chance = F.pmod(F.xxhash64("doc_id", size), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        points = docs.where(~null).select("doc_id", F.floor(share + chance).cast("int").alias("times")).where("times > 0")
+        points = points.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        cuts = points.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
     cuts = np.unique(np.array(cuts, np.float64))
 
     @F.pandas_udf("int")
     def block(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.float64, na_value=np.inf)).astype(np.int32))
 
-    return docs.withColumn("_block", block(F.col("doc_id"))), n
+    place = block(F.col("doc_id"))
+    if spare:
+        place = F.when(null, F.lit(n) + F.pmod(F.xxhash64("text"), F.lit(spare)).cast("int")).otherwise(place)
+    return docs.withColumn("_block", place), n, n + spare
 
 
-__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "id_blocks", "n_words", "read"]
+def texts_by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with the texts of their rows (null: empty), of ``most`` bytes each
+    or of one row that has more."""
+    texts = [t or b"" for t in batch.column("text").to_pylist()]
+    low = size = 0
+    for i, t in enumerate(texts):
+        if i > low and size + len(t) > most:
+            yield batch.slice(low, i - low), texts[low:i]
+            low, size = i, 0
+        size += len(t)
+    if low < len(texts):
+        yield batch.slice(low), texts[low:]
+
+
+__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "id_blocks", "n_words", "read", "texts_by_bytes"]

@@ -1,25 +1,28 @@
 """Exact search for repeated windows of tokens over a whole corpus.
 
-Documents are dealt into blocks by ranges of doc_id, about 4 MB each.  Blocks and hash
-shards exchange packed messages, so a passage that a third of all documents share costs
-each shard at most one entry a block:
+Documents are dealt into blocks by ranges of doc_id.  Blocks and hash shards exchange
+packed messages, so a passage that a third of all documents share costs each shard at most
+one entry a block:
 
 1. Each block sends, for each distinct (anchor, context) it holds, the anchor's hash and
    the hash of the context, i.e. of all windows that the anchor stands for.
-2. A shard answers with a code: whether the context is found elsewhere, and whether the
-   anchor has other contexts too, in which case one block sends this context whole.
-3. A second shard compares the whole contexts of one anchor with each other, window by
-   window; a solver given by the operator does it (a radix sort or suffix automata).
-   Contexts of an anchor with over GROUP of them travel as window hashes instead, which
-   each block thins out to distinct ones, so that no group is unbounded.
+2. A shard answers who holds an anchor that occurs again: the first holder of a context
+   sends it whole, the others only claim it.  Hashes pre-aggregate here; they remove nothing.
+3. A second shard gives the contexts, each with the number of its occurrences, to a solver
+   of the operator (suffix automata or a radix sort), which compares them window by window.
+   A window is removed only if the solver finds it.  Contexts of an anchor with over GROUP
+   of them travel as single windows, which each block thins out to distinct ones and which
+   are dealt by their own hash, so that no group is unbounded; the solver decides these too.
 4. Blocks turn the answers into covered tokens.
 
 All rounds are one lazy plan; the exchange that deals the documents is used three times.
-Contexts and windows of hot anchors are compared by 64-bit hashes within one anchor.
+Blocks and shards grow with the root of the input's bytes, so that a message between them
+stays at about MESSAGE bytes and their number grows with the input, not with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from ._common import id_blocks
 from ._minimizers import anchors, mix64
 
-BLOCK_BYTES = 4 << 20
-GROUP = 256  # contexts of one anchor that a solver takes
-ELSEWHERE, SENDER, HOT = 1, 2, 4
+BLOCK_BYTES = 4 << 20  # of text in a block, at least
+MESSAGE = 1024  # bytes between a block and a shard, about
+PER_SHARD = 4  # blocks for each shard
+GROUP = 256  # contexts of one anchor that meet whole
+SENDER, CLAIM, HOT = 1, 2, 4
 _MESSAGE = "_shard int, _block int, kind int, payload binary"
 _REPLY = "_block int, _shard int, kind int, payload binary"
 
@@ -51,7 +56,8 @@ class Tokens:
 
 @dataclass(frozen=True)
 class Search:
-    """``split`` makes Tokens of a list of texts; ``solve`` flags the windows of contexts.
+    """``split`` makes Tokens of a list of texts; ``solve`` flags the windows of contexts: as
+    their first holder sees them, and as later holders do.
 
     earlier: a window counts as found if a document with a smaller doc_id has it;
     otherwise if it is found anywhere else.
@@ -128,32 +134,28 @@ def _ask(search: Search, shards: int):
     return ask
 
 
-def _answer(search: Search):
-    """Round 2: a code for each pair."""
+def _answer(search: Search, last: int):
+    """Round 2: a code for each pair.  Blocks from ``last`` on hold null ids, none of which
+    is smaller than another."""
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         blocks, payloads = table.column("_block").to_pylist(), table.column("payload").to_pylist()
         sizes = np.array([len(p) // 14 for p in payloads])
-        gram = np.zeros((sizes.sum(), 8), np.uint8)
-        gram[:, :6] = np.concatenate([np.frombuffer(p, np.uint8, 6 * n).reshape(-1, 6) for p, n in zip(payloads, sizes)])
-        gram = gram.view(">u8").ravel().astype(np.uint64)
-        ctx = np.concatenate([np.frombuffer(p, np.uint64, n, 6 * n) for p, n in zip(payloads, sizes)])
+        gram, ctx = _pairs(payloads, sizes)
         block = np.repeat(np.array(blocks), sizes)
         by = np.lexsort((block, ctx, gram))
-        g, c = gram[by], ctx[by]
+        g, c, order = gram[by], ctx[by], np.minimum(block[by], last)
         new_g = np.ones(len(by), bool)
         new_g[1:] = g[1:] != g[:-1]
         new_c = new_g.copy()
         new_c[1:] |= c[1:] != c[:-1]
         heads = np.flatnonzero(new_c)
+        holders = np.diff(np.append(heads, len(by)))
         group = np.cumsum(new_g) - 1
         contexts = np.bincount(group[heads])[group]
-        first = new_c
-        if search.earlier:
-            elsewhere = ~first
-        else:
-            elsewhere = np.repeat(np.diff(np.append(heads, len(by))) > 1, np.diff(np.append(heads, len(by))))
-        code = elsewhere * ELSEWHERE + (first & (contexts > 1)) * SENDER + (first & (contexts > GROUP)) * HOT
+        again = (contexts > 1) | (np.repeat(holders, holders) > 1)
+        first = order == np.repeat(order[heads], holders) if search.earlier else new_c
+        code = np.where(contexts > GROUP, HOT, np.where(first, again * SENDER, CLAIM))
         out = np.empty(len(by), np.uint8)
         out[by] = code
         ends = np.cumsum(sizes)
@@ -162,6 +164,14 @@ def _answer(search: Search):
     return answer
 
 
+def _pairs(payloads: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors' six bytes, as numbers, and the contexts of packed pairs."""
+    gram = np.zeros((sizes.sum(), 8), np.uint8)
+    gram[:, :6] = np.concatenate([np.frombuffer(p, np.uint8, 6 * n).reshape(-1, 6) for p, n in zip(payloads, sizes)])
+    ctx = np.concatenate([np.frombuffer(p, np.uint64, n, 6 * n) for p, n in zip(payloads, sizes)])
+    return gram.view(">u8").ravel().astype(np.uint64), ctx
+
+
 def _codes(replies: pa.Table, kind: int) -> bytes:
     """The payloads of one kind, in the order of their shards."""
     t = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("_shard")
@@ -172,27 +182,29 @@ class Sent:
     """What a block sends in round 3, and in which order its answers come back."""
 
     def __init__(self, b: Block, code: np.ndarray, search: Search, shards: int):
-        self.pairs = np.flatnonzero((code & SENDER > 0) & (code & HOT == 0))  # by anchor, so by shard
+        # What occurs again in this block alone is sent too.
+        self.pairs = np.flatnonzero((code == SENDER) | ((code == 0) & (b.count > 1)))  # by anchor, so by shard
         self.cut = _cuts(b.gram[self.pairs], shards)
-        hot = np.flatnonzero(code & HOT > 0)
+        self.claims = np.flatnonzero(code == CLAIM)
+        self.claim_cut = _cuts(b.gram[self.claims], shards)
+        hot = np.flatnonzero(code == HOT)
         occ = b.occurrence[hot]
         counts = b.last[occ] - b.first[occ] + 1
         self.hot_pair = np.repeat(hot, counts)
-        starts = np.repeat(b.first[occ] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        self.hot_start = starts.astype(np.int64)
-        self.hot_hash = _window_hashes(b.tokens.values, self.hot_start, search.length)
-        rank = b.rank[b.occurrence[self.hot_pair]]
-        by = np.lexsort((rank, self.hot_hash))
-        h = self.hot_hash[by]
+        self.hot_index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = np.repeat(b.first[occ], counts) + self.hot_index
+        hashes = _window_hashes(b.tokens.values, start, search.length)
+        self.hot_rank = b.rank[b.occurrence[self.hot_pair]]
+        by = np.lexsort((self.hot_rank, hashes))
+        h = hashes[by]
         new = np.ones(len(by), bool)
         new[1:] = h[1:] != h[:-1]
         heads = np.flatnonzero(new)
-        self.unique = h[heads]
+        self.unique, self.unique_start = h[heads], start[by][heads]
         self.of = np.empty(len(by), np.int64)
         self.of[by] = np.cumsum(new) - 1
-        self.least_rank = rank[by][heads]
-        self.repeats = np.diff(np.append(heads, len(by)))
-        self.hot_rank = rank
+        self.least_rank = self.hot_rank[by][heads]
+        self.repeats = np.bincount(self.of, b.count[self.hot_pair], len(heads)).astype(np.int64)
         self.hot_cut = _cuts(self.unique, shards)
 
 
@@ -204,64 +216,94 @@ def _window_hashes(values: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     return mix64(out)
 
 
+_HEAD = (("gram", np.uint64), ("ctx", np.uint64), ("rank", np.int32), ("count", np.int32), ("offset", np.uint8), ("n", np.uint8))
+
+
+def _pack(values: np.ndarray, begin: np.ndarray, **head: np.ndarray) -> bytes:
+    """Contexts in one message: their number, _HEAD column by column, their tokens."""
+    n = head["n"]
+    flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.int64(len(n)).tobytes() + b"".join(head[name].astype(kind).tobytes() for name, kind in _HEAD) + values[flat].tobytes()
+
+
+def _unpack(payloads: list[bytes], dtype) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """_HEAD columns of all messages, the number of contexts in each, and all tokens."""
+    sizes = np.array([int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads])
+    head, at = {}, np.full(len(payloads), 8)
+    for name, kind in _HEAD:
+        head[name] = np.concatenate([np.frombuffer(p, kind, k, i) for p, k, i in zip(payloads, sizes, at)])
+        at += sizes * np.dtype(kind).itemsize
+    return head, sizes, np.concatenate([np.frombuffer(p, dtype, -1, i) for p, i in zip(payloads, at)])
+
+
 def _send(search: Search, shards: int):
-    """Round 3: contexts that share an anchor with other ones, and windows of hot anchors."""
+    """Round 3: contexts, claims of contexts that another block sends, and windows of hot anchors."""
 
     def send(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows(["_shard", "_block", "kind", "payload"], [])
         block, b = key[0].as_py(), Block(docs, search)
         codes = _codes(replies, 0)
-        code = np.frombuffer(codes, np.uint8)
-        s = Sent(b, code, search, shards)
+        s, values = Sent(b, np.frombuffer(codes, np.uint8), search, shards), b.tokens.values
         rows = [(block % shards, block, 9, codes)]  # comes back as it is
-        occ, values = b.occurrence[s.pairs], b.tokens.values
+        occ = b.occurrence[s.pairs]
         begin, end = b.first[occ], b.last[occ] + search.length
         for shard, i, j in zip(range(shards), s.cut, s.cut[1:]):
             if j > i:
-                n = (end - begin)[i:j]
-                flat = np.repeat(begin[i:j] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                head = np.concatenate([b.gram[s.pairs[i:j]].view(np.int64), b.rank[occ[i:j]], (b.at[occ] - begin)[i:j], n])
-                rows.append((shard, block, 1, np.int64(j - i).tobytes() + head.tobytes() + values[flat].tobytes()))
+                own, at = s.pairs[i:j], begin[i:j]
+                rows.append((shard, block, 1, _pack(values, at, gram=b.gram[own], ctx=b.ctx[own], rank=b.rank[occ[i:j]], count=b.count[own], offset=b.at[occ[i:j]] - at, n=end[i:j] - at)))
+        for shard, i, j in zip(range(shards), s.claim_cut, s.claim_cut[1:]):
+            if j > i:
+                own = s.claims[i:j]
+                rows.append((shard, block, 3, _six(b.gram[own]) + b.ctx[own].tobytes()))
         for shard, i, j in zip(range(shards), s.hot_cut, s.hot_cut[1:]):
             if j > i:
-                rows.append((shard, block, 2, s.unique[i:j].tobytes()))
+                h, none = s.unique[i:j], np.zeros(j - i)
+                rows.append((shard, block, 2, _pack(values, s.unique_start[i:j], gram=h, ctx=h, rank=s.least_rank[i:j], count=s.repeats[i:j], offset=none, n=np.full(j - i, search.length))))
         return _rows(["_shard", "_block", "kind", "payload"], rows)
 
     return send
 
 
-def _compare(search: Search, dtype):
-    """Round 4: a mask of found windows for each context, a bit for each hot window."""
+def _compare(search: Search, dtype, last: int):
+    """Round 4: masks of found windows, for first and later holders of each context."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         got = list(zip(*(table.column(c).to_pylist() for c in ("_block", "kind", "payload")), strict=True))
         rows = [(b, shard, 9, p) for b, kind, p in got if kind == 9]
-        if whole := [(b, p) for b, kind, p in got if kind == 1]:
-            sizes = [int(np.frombuffer(p, np.int64, 1)[0]) for _, p in whole]
-            heads = np.concatenate([np.frombuffer(p, np.int64, 4 * n, 8).reshape(4, n) for (_, p), n in zip(whole, sizes)], axis=1)
-            values = np.concatenate([np.frombuffer(p, dtype, -1, 8 + 32 * n) for (_, p), n in zip(whole, sizes)])
-            order = np.repeat(np.array([b for b, _ in whole]), sizes) << 32 | heads[1]
-            masks = search.solve(heads[0].view(np.uint64), order, heads[2], heads[3], values, search)
-            ends = np.cumsum(sizes)
-            rows += [(b, shard, 1, masks[e - n : e].tobytes()) for (b, _), e, n in zip(whole, ends, sizes)]
-        if hot := [(b, p) for b, kind, p in got if kind == 2]:
-            sizes = [len(p) // 8 for _, p in hot]
-            h = np.concatenate([np.frombuffer(p, np.uint64) for _, p in hot])
-            block = np.repeat(np.array([b for b, _ in hot]), sizes)
-            by = np.lexsort((block, h))
-            same = np.zeros(len(h), bool)
-            same[1:] = h[by][1:] == h[by][:-1]
-            found = np.zeros(len(h), bool)
-            found[by] = same if search.earlier else same | np.append(same[1:], False)
-            ends = np.cumsum(sizes)
-            rows += [(b, shard, 2, found[e - n : e].tobytes()) for (b, _), e, n in zip(hot, ends, sizes)]
+        whole, claims = [x for x in got if x[1] in (1, 2)], [x for x in got if x[1] == 3]
+        if not whole:
+            return _rows(["_block", "_shard", "kind", "payload"], rows)
+        head, sizes, values = _unpack([p for _, _, p in whole], dtype)
+        blocks = np.repeat(np.array([b for b, _, _ in whole]), sizes)
+        order = np.minimum(blocks, last) << 32 | head["rank"]
+        weight = head["count"].astype(np.int64)
+        if claims:
+            counts = np.array([len(p) // 14 for _, _, p in claims])
+            gram, ctx = _pairs([p for _, _, p in claims], counts)
+            by = np.lexsort((head["ctx"], head["gram"] >> np.uint64(16)))
+            known = np.rec.fromarrays([head["gram"][by] >> np.uint64(16), head["ctx"][by]])
+            of = by[np.searchsorted(known, np.rec.fromarrays([gram >> np.uint64(16), ctx]))]
+            weight += np.bincount(of, minlength=len(weight))
+        first, later = search.solve(head["gram"], order, head["offset"].astype(np.int64), head["n"].astype(np.int64), weight, values, search)
+        ends = np.cumsum(sizes)
+        rows += [(b, shard, kind, first[e - n : e].tobytes() + later[e - n : e].tobytes()) for (b, kind, _), e, n in zip(whole, ends, sizes)]
+        if claims:
+            ends = np.cumsum(counts)
+            rows += [(b, shard, 3, later[of[e - n : e]].tobytes()) for (b, _, _), e, n in zip(claims, ends, counts)]
         return _rows(["_block", "_shard", "kind", "payload"], rows)
 
     return compare
 
 
+def _masks(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and later holders' masks, in the order in which a block sent."""
+    t = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("_shard")
+    both = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in t.column("payload").to_pylist()]
+    return tuple(np.concatenate([x[i] for x in both]) if both else np.empty(0, np.uint64) for i in (0, 1))
+
+
 _RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary"
 
 
@@ -270,22 +312,22 @@ def _cover(search: Search, shards: int):
 
     def cover(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         b = Block(docs, search)
-        code = np.frombuffer(_codes(replies, 9), np.uint8)
-        s = Sent(b, code, search, shards)
-        elsewhere = code & ELSEWHERE > 0
-        if search.earlier:
-            whole = elsewhere[b.pair] | (b.rank > b.rank[b.occurrence][b.pair])
-        else:
-            whole = elsewhere[b.pair] | (b.count > 1)[b.pair]
-        masks = np.zeros((len(b.gram), search.length), bool)
-        sent = np.frombuffer(_codes(replies, 1), np.uint64)
-        masks[s.pairs] = (sent[:, None] >> np.arange(search.length, dtype=np.uint64)) & np.uint64(1) > 0
-        found = np.frombuffer(_codes(replies, 2), bool)
-        if len(found):
-            in_block = s.hot_rank > s.least_rank[s.of] if search.earlier else s.repeats[s.of] > 1
-            masks[s.hot_pair, s.hot_start - b.first[b.occurrence[s.hot_pair]]] = found[s.of] | in_block
-        partly = np.flatnonzero(~whole & masks.any(1)[b.pair])
-        at = (b.first[partly][:, None] + np.arange(search.length))[masks[b.pair[partly]]]
+        s = Sent(b, np.frombuffer(_codes(replies, 9), np.uint8), search, shards)
+        first, later = np.zeros(len(b.gram), np.uint64), np.zeros(len(b.gram), np.uint64)
+        first[s.pairs], later[s.pairs] = _masks(replies, 1)
+        first[s.claims] = later[s.claims] = np.frombuffer(_codes(replies, 3), np.uint64)
+        own, others = (x[s.of] if len(x) else x for x in _masks(replies, 2))
+        if len(own):
+            bit = s.hot_index.astype(np.uint64)
+            here = np.where(s.hot_rank > s.least_rank[s.of], others, own)
+            np.bitwise_or.at(first, s.hot_pair, here << bit)
+            np.bitwise_or.at(later, s.hot_pair, others << bit)
+        after = b.rank > b.rank[b.occurrence][b.pair]
+        mask = np.where(after, later[b.pair], first[b.pair]) if search.earlier else later[b.pair]
+        whole = mask == (np.uint64(1) << (b.last - b.first + 1).astype(np.uint64)) - np.uint64(1)
+        partly = np.flatnonzero(~whole & (mask > 0))
+        bits = (mask[partly][:, None] >> np.arange(search.length, dtype=np.uint64)) & np.uint64(1) > 0
+        at = (b.first[partly][:, None] + np.arange(search.length))[bits]
         begin, end = np.concatenate([b.first[whole], at]), np.concatenate([b.last[whole], at]) + search.length
 
         n, bounds = len(b.tokens.values), b.tokens.bounds
@@ -310,12 +352,14 @@ def _cover(search: Search, shards: int):
     return cover
 
 
-def remove_repeats(docs: DataFrame, search: Search, dtype, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, search: Search, dtype, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (binary) for each row of ``docs``."""
-    docs, n = id_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), block_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs, last, n = id_blocks(docs, block_bytes or (lambda total: max(BLOCK_BYTES, math.isqrt(total * MESSAGE // PER_SHARD))))
+    shards = -(-n // PER_SHARD)
     by_block = lambda df: df.groupBy("_block")
-    asked = by_block(docs).applyInArrow(_ask(search, n), _MESSAGE)
-    answered = asked.groupBy("_shard").applyInArrow(_answer(search), _REPLY)
-    sent = by_block(docs).cogroup(by_block(answered)).applyInArrow(_send(search, n), _MESSAGE)
-    compared = sent.groupBy("_shard").applyInArrow(_compare(search, dtype), _REPLY)
-    return by_block(docs).cogroup(by_block(compared)).applyInArrow(_cover(search, n), _RESULT)
+    asked = by_block(docs).applyInArrow(_ask(search, shards), _MESSAGE)
+    answered = asked.groupBy("_shard").applyInArrow(_answer(search, last), _REPLY)
+    sent = by_block(docs).cogroup(by_block(answered)).applyInArrow(_send(search, shards), _MESSAGE)
+    compared = sent.groupBy("_shard").applyInArrow(_compare(search, dtype, last), _REPLY)
+    return by_block(docs).cogroup(by_block(compared)).applyInArrow(_cover(search, shards), _RESULT)

@@ -1,11 +1,15 @@
 """License scans: windows of a text are matched to templates by MinHash bands.
 
 Templates are grouped by their number of five-word shingles, up to M = 1, 2, 4, 8 ... in a
-group.  A text is cut into windows of 2 M shingles that begin every M shingles, so any
-run of M shingles lies whole in one of them.  A window with 80 % of a template then has a
-similarity of 0.2 to it at least; with BANDS bands of one value the two collide with
-probability 1 - 0.8 ** BANDS, over 0.999999.  Candidates are confirmed by exact containment
-of the template's shingles.
+group.  A text is cut into windows of 3 M shingles that begin every M shingles, so any
+run of 2 M shingles lies whole in one of them, which leaves a template room for as many
+inserted words again.  A window with 80 % of a template of over M / 2 shingles has a
+similarity of 0.4 / 3.1 to it at least; with BANDS bands of one value the two collide with
+probability 1 - (1 - 0.4 / 3.1) ** BANDS, over 0.9999999.  Candidates are confirmed by exact
+containment of the template's shingles.
+
+Minima are taken once over single shingles and then over twice as long pieces at a time,
+so that all groups together cost about two passes.
 """
 
 from __future__ import annotations
@@ -16,12 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .minhash_dedup import _A, _B, PERMUTATIONS
-from .substring_dedup import split_words
+from ._common import texts_by_bytes
 from ._minimizers import mix64
+from .substring_dedup import split_words
 
-BANDS = PERMUTATIONS
+BANDS = 128
 WIDTH = 5
+BATCH_BYTES = 1 << 20  # of texts that are scanned together
+_rng = np.random.default_rng(5)
+_A = _rng.integers(0, 1 << 32, BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS, dtype=np.uint64).astype(np.uint32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Letters and digits in lower case; everything else in ASCII parts words.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
@@ -42,6 +50,44 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you
+wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
 }
 
 
@@ -64,61 +110,69 @@ class Library:
 
     def __init__(self, templates: dict[str, str]):
         self.sets: list[tuple[str, np.ndarray]] = []
-        self.groups: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.groups: dict[int, list[dict[int, list[int]]]] = {}  # by size, then by band: min-hash to templates
         for name, text in templates.items():
             s = np.unique(shingles([text.encode()])[0])
             if not len(s):
                 raise ValueError(f"template {name} has fewer than {WIDTH} words")
-            most = 1 << (len(s) - 1).bit_length()
-            table = self.groups.setdefault(most, {})
-            for band, value in enumerate(_minima(s, np.array([0]))[:, 0].tolist()):
-                table.setdefault((band, value), []).append(len(self.sets))
+            tables = self.groups.setdefault(1 << (len(s) - 1).bit_length(), [{} for _ in range(BANDS)])
+            high = (s >> np.uint64(32)).astype(np.uint32)
+            for band, table in enumerate(tables):
+                table.setdefault(int((high * _A[band] + _B[band]).min()), []).append(len(self.sets))
             self.sets.append((name, s))
+        self.wanted = {size: [np.array(list(table), np.uint32) for table in tables] for size, tables in self.groups.items()}
 
 
-def _minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(BANDS, len(starts)): the least hash from each start up to the next."""
-    x = (values >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(x * _A[b, 0] + _B[b, 0], starts) for b in range(BANDS)])
-
-
-def windows(bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, text) of the overlapping windows of all texts."""
-    counts = np.diff(bounds)
-    pieces = -(-counts // most)
-    text = np.repeat(np.arange(len(counts)), pieces)
-    starts = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
-    return starts, np.minimum(starts + 2 * most, bounds[1:][text]), text
+def _levels(bounds: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray | None, np.ndarray, np.ndarray, list]]:
+    """Pieces of the texts, 1, 2, 4 ... shingles long from the beginning of each: the length
+    if it is one of ``sizes``, else 0; where a piece's first half is among the level before;
+    the text of each piece and its number there; and which pieces the next and the one after
+    it follow in the same text."""
+    text, most, starts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), 1, None
+    while True:
+        number = np.arange(len(text)) - np.searchsorted(text, text)
+        follow = [(step, np.flatnonzero(text[step:] == text[:-step])) for step in (1, 2)] if most in sizes else []
+        yield most if most in sizes else 0, starts, text, number, follow
+        if most >= max(sizes):
+            return
+        starts = np.flatnonzero(number % 2 == 0)
+        text, most = text[starts], 2 * most
 
 
 def scan_texts(texts: list[bytes], library: Library, containment: float) -> list[tuple[int, str, float, int, int]]:
     """(text, template, containment, start word, windows) of the best window of each match."""
     values, bounds = shingles(texts)
+    if not len(values):
+        return []
+    levels = list(_levels(bounds, list(library.groups)))
+    high = (values >> np.uint64(32)).astype(np.uint32)
+    candidates: set[tuple[int, int, int]] = set()
+    for band in range(BANDS):  # one at a time, so that a long text needs no more than a few arrays
+        least = high * _A[band] + _B[band]
+        for level, (size, starts, _, _, follow) in enumerate(levels):
+            least = least if starts is None else np.minimum.reduceat(least, starts)
+            if size:
+                # A window is a piece and the next two, as far as they are of the same text.
+                joined = least.copy()
+                for step, same in follow:
+                    joined[same] = np.minimum(joined[same], least[same + step])
+                table = library.groups[size][band]
+                for w in np.flatnonzero(np.isin(joined, library.wanted[size][band])).tolist():
+                    candidates.update((level, w, t) for t in table[int(joined[w])])
     best: dict[tuple[int, int], list] = {}
-    for most, table in library.groups.items():
-        starts, ends, text = windows(bounds, most)
-        if not len(starts):
-            continue
-        half = _minima(values, starts)
-        # A window is a piece and the next one, if that is of the same text.
-        next_same = np.append(text[1:] == text[:-1], False)
-        least = half.copy()
-        joined = np.flatnonzero(next_same)
-        least[:, joined] = np.minimum(half[:, joined], half[:, joined + 1])
-        wanted = [np.array([v for b, v in table if b == band], np.uint32) for band in range(BANDS)]
-        hit = np.flatnonzero(np.stack([np.isin(least[b], wanted[b]) for b in range(BANDS)]).any(0))
-        for w in hit.tolist():
-            own = values[starts[w] : ends[w]]
-            for t in sorted({t for b in range(BANDS) for t in table.get((b, int(least[b, w])), ())}):
-                template = library.sets[t][1]
-                found = np.isin(template, own)
-                if found.sum() >= containment * len(template) - 1e-9:
-                    share = float(found.mean())
-                    at = int(starts[w] - bounds[text[w]] + np.flatnonzero(np.isin(own, template))[0])
-                    seen = best.setdefault((int(text[w]), t), [share, at, 0])
-                    if share > seen[0]:
-                        seen[0], seen[1] = share, at
-                    seen[2] += 1
+    for level, w, t in sorted(candidates):
+        size, _, text, number, _ = levels[level]
+        i = int(text[w])
+        begin = int(bounds[i] + number[w] * size)
+        own, template = values[begin : min(begin + 3 * size, int(bounds[i + 1]))], library.sets[t][1]
+        found = np.isin(template, own)
+        if found.sum() >= containment * len(template) - 1e-9:
+            share = float(found.mean())
+            at = int(begin - bounds[i] + np.flatnonzero(np.isin(own, template))[0])
+            seen = best.setdefault((i, t), [share, at, 0])
+            if share > seen[0]:
+                seen[0], seen[1] = share, at
+            seen[2] += 1
     return [(i, library.sets[t][0], share, at, n) for (i, t), (share, at, n) in sorted(best.items())]
 
 
@@ -129,16 +183,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     letters and digits), n_windows.
 
     Null, empty and short texts match nothing; repeated rows match again; null ids are
-    passed on; other columns are not read.  A template needs five words.
+    passed on; other columns are not read, whatever they are called.  A template needs five
+    words.  ``templates``, name to text, replaces the library, whose texts may be whole
+    licenses.  The library: notices and SPDX lines, and the texts of MIT, ISC, BSD-2-Clause
+    and zlib; a license stated in other words is not found.  A very long text is scanned whole.
     """
     library = Library(TEMPLATES if templates is None else templates)
     names = ["doc_id", "license", "containment", "start_word", "n_windows"]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 300):
-                part = batch.slice(low, 300)
-                rows = scan_texts([t or b"" for t in part.column("text").to_pylist()], library, containment)
+            for part, texts in texts_by_bytes(batch, BATCH_BYTES):
+                rows = scan_texts(texts, library, containment)
                 ids = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.record_batch([ids, *(pa.array([r[j + 1] for r in rows], k) for j, k in enumerate(kinds))], names=names)

@@ -19,20 +19,20 @@ class SuffixAutomaton:
         self.next: list[dict] = [{}]
         self.link, self.length, self.count, self.last = [-1], [0], [0], 0
 
-    def add(self, tokens) -> None:
-        """Take in a sequence; matches do not run across the ends of sequences."""
+    def add(self, tokens, times: int = 1) -> None:
+        """Take in a sequence that occurs so often; matches do not run across the ends of sequences."""
         follow, link, length, count = self.next, self.link, self.length, self.count
         last = 0
         for t in tokens:
             if (q := follow[last].get(t)) is not None and length[q] == length[last] + 1:
                 last = q
-                count[last] += 1
+                count[last] += times
                 continue
             p, cur = last, len(length)
             follow.append({})
             link.append(0)
             length.append(length[last] + 1)
-            count.append(1)
+            count.append(times)
             while p >= 0 and t not in follow[p]:
                 follow[p][t] = cur
                 p = link[p]
@@ -100,38 +100,38 @@ def split_words(texts: list[bytes]) -> Tokens:
     bounds = np.searchsorted(start, offsets).astype(np.int64)
 
     def keep(i: int, kept: np.ndarray) -> bytes:
-        low, high = bounds[i], bounds[i + 1]
-        if kept.all() and high > low and (size[low:high].sum() + high - low - 1) == len(texts[i]) and b"\n" not in texts[i] and b"\t" not in texts[i]:
-            return b" ".join(texts[i].split())
         words = texts[i].split()
-        return b" ".join([words[j] for j in np.flatnonzero(kept)])
+        return b" ".join(words if kept.all() else [words[j] for j in np.flatnonzero(kept)])
 
     return Tokens(value, bounds, keep)
 
 
-def solve_by_automaton(gram, order, offset, n, values, search: Search) -> np.ndarray:
-    """A mask of found windows for each context: the contexts of one anchor make a
-    reference shard, whose automaton each of them is streamed through."""
+def solve_by_automaton(gram, order, offset, n, weight, values, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of found windows for each context: the contexts of one anchor, each as often as
+    it occurs, make a reference shard, whose automaton each of them is streamed through."""
     masks = np.zeros(len(n), np.uint64)
     begin = np.cumsum(n) - n
     by = np.argsort(gram, kind="stable")
     cut = np.concatenate([[0], np.flatnonzero(gram[by][1:] != gram[by][:-1]) + 1, [len(by)]])
     length = search.length
     for i, j in zip(cut, cut[1:]):
-        if j - i < 2:
+        own: dict[tuple, list[int]] = {}  # null ids may send one context from several blocks
+        for c in by[i:j].tolist():
+            own.setdefault(tuple(values[begin[c] : begin[c] + n[c]].tolist()), []).append(c)
+        times = {tokens: int(weight[held].sum()) for tokens, held in own.items()}
+        if sum(times.values()) < 2:
             continue
-        own = [(c, values[begin[c] : begin[c] + n[c]].tolist()) for c in by[i:j].tolist()]
         automaton = SuffixAutomaton()
-        for _, tokens in own:
-            automaton.add(tokens)
+        for tokens, often in times.items():
+            automaton.add(tokens, often)
         automaton.finish()
-        for c, tokens in own:
+        for tokens, held in own.items():
             mask = 0
             for end, (size, count) in enumerate(automaton.statistics(tokens, length)):
                 if size == length and count > 1:
                     mask |= 1 << (end - length + 1)
-            masks[c] = mask
-    return masks
+            masks[held] = mask
+    return masks, masks
 
 
 def dedup_word_windows(docs: DataFrame, length: int = 35) -> DataFrame:

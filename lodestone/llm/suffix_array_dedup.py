@@ -15,15 +15,17 @@ def split_bytes(texts: list[bytes]) -> Tokens:
     return Tokens(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), lambda i, kept: np.frombuffer(texts[i], np.uint8)[kept].tobytes())
 
 
-def radix_groups(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order the suffixes of ``flat`` at ``start`` through ``length`` bytes only.
+def radix_groups(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order the suffixes of ``flat`` at ``start``, each standing for so many, through
+    ``length`` bytes only.
 
     Most-significant-digit passes refine ``group`` and drop what stands alone; returns the
     indices of the suffixes left and their groups, which are exactly the repeated windows.
     """
+    times = np.ones(len(start)) if times is None else times
     flat = np.append(flat, np.zeros(DIGIT, np.uint8))
     words = np.ndarray((len(flat) - DIGIT + 1,), "<u8", np.ascontiguousarray(flat), strides=(1,))
-    left = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
+    left = np.flatnonzero(np.bincount(group, times, 1)[group] > 1)
     group = group[left]
     for depth in [*range(0, length - DIGIT + 1, DIGIT), *([length - DIGIT] if length % DIGIT else [])]:
         digit = words[start[left] + depth]
@@ -32,15 +34,16 @@ def radix_groups(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length:
         new = np.ones(len(by), bool)
         new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
         ids = np.cumsum(new) - 1
-        many = np.bincount(ids, minlength=1)[ids] > 1
-        left, group = left[by][many], ids[many]
+        left = left[by]
+        many = np.bincount(ids, times[left], 1)[ids] > 1
+        left, group = left[many], ids[many]
         if not len(left):
             break
     return left, group
 
 
-def solve_by_radix(gram, order, offset, n, values, search: Search) -> np.ndarray:
-    """A mask of found windows for each context; see _repeats."""
+def solve_by_radix(gram, order, offset, n, weight, values, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of found windows for the first holder of each context and for later ones; see _repeats."""
     windows = n - search.length + 1
     begin = np.cumsum(n) - n
     of = np.repeat(np.arange(len(n)), windows)
@@ -48,14 +51,16 @@ def solve_by_radix(gram, order, offset, n, values, search: Search) -> np.ndarray
     # The most significant digit is the anchor with the window's place beside it.
     anchor = np.unique(gram, return_inverse=True)[1]
     group = anchor[of] * search.length + (offset[of] - index)
-    left, group = radix_groups(values, begin[of] + index, group, search.length)
-    masks = np.zeros(len(n), np.uint64)
+    left, group = radix_groups(values, begin[of] + index, np.unique(group, return_inverse=True)[1], search.length, weight[of])
+    first, later = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(left):
         least = np.full(group.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, order[of[left]])
+        bit = np.uint64(1) << index.astype(np.uint64)
         hit = left[order[of[left]] > least[group]] if search.earlier else left
-        np.bitwise_or.at(masks, of[hit], np.uint64(1) << index[hit].astype(np.uint64))
-    return masks
+        np.bitwise_or.at(first, of[hit], bit[hit])
+        np.bitwise_or.at(later, of[left], bit[left])
+    return first, later
 
 
 def dedup_byte_windows(docs: DataFrame, length: int = 50) -> DataFrame:

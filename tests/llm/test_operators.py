@@ -480,7 +480,7 @@ def test_packing(spark, docs, empty):
 # -- 6: licenses -------------------------------------------------------------------------
 
 
-def brute_licenses(text, templates, share=0.8):
+def brute_licenses(text, templates, share=0.8, width=3, step=lambda most: most):
     fold = lambda t: t.encode().translate(license_scan._FOLD).split()
     out = {}
     for name, body in templates.items():
@@ -488,8 +488,8 @@ def brute_licenses(text, templates, share=0.8):
         own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         most, d = 1 << (len(own) - 1).bit_length(), fold(text)
         s = [tuple(d[i : i + 5]) for i in range(len(d) - 4)]
-        for low in range(0, len(s), most):
-            found = len(own & set(s[low : low + 2 * most])) / len(own)
+        for low in range(0, len(s), step(most)):
+            found = len(own & set(s[low : low + width * most])) / len(own)
             if found >= share - 1e-9:
                 out[name] = max(out.get(name, 0), found)
     return out
@@ -500,10 +500,12 @@ def test_licenses(spark, docs, empty):
     rows = []
     for i in range(150):
         w = prose(r.randrange(0, 90), r).split()
-        for _ in range(r.randrange(3)):
+        for _ in range(r.randrange(4)):
             t = r.choice(list(license_scan.TEMPLATES.values())).split()
             if r.random() < 0.4:
                 t[r.randrange(len(t))] = "other"
+            for _ in range(r.randrange(12) if r.random() < 0.3 else 0):
+                t.insert(r.randrange(len(t)), "inserted")
             at = r.randrange(len(w) + 1)
             w[at:at] = t if r.random() < 0.7 else [x.upper() for x in t]
         rows.append((i, " ".join(w)))
@@ -512,6 +514,8 @@ def test_licenses(spark, docs, empty):
     want = {(i, n): round(c, 9) for i, t in rows for n, c in brute_licenses(t or "", license_scan.TEMPLATES).items()}
     got = {(r["doc_id"], r["license"]): round(r["containment"], 9) for r in license_scan.scan(df).collect()}
     assert got == want and len(want) > 60
+    anywhere = {(i, n) for i, t in rows if i != 202 for n in brute_licenses(t or "", license_scan.TEMPLATES, width=2, step=lambda most: 1)}
+    assert anywhere <= set(got)  # windows of 2 M at every offset lie whole in one of 3 M
     assert license_scan.scan(empty).count() == 0
     with pytest.raises(ValueError):
         license_scan.Library({"short": "too few words"})
