@@ -23,17 +23,33 @@ def squared_l2(a: Column, b: Column) -> Column:
 def squared_l2_to(column: Column, query: Sequence[float]) -> Column:
     """Squared distance to a constant; null where the length differs or an element is null.
 
-    Short vectors are unrolled, so that the sum stays inside whole-stage code generation.
+    Short vectors are unrolled, so that the sum stays inside whole-stage code generation;
+    long ones go to an Arrow function, whose sums over whole batches outrun an interpreted
+    one element by element.
     """
     q = [float(x) for x in query]
     if len(q) <= UNROLLED:
         terms = [(F.get(column, F.lit(i)).cast("double") - F.lit(x)) for i, x in enumerate(q)]
         total = reduce(lambda s, t: s + t, [t * t for t in terms])
     else:
-        total = squared_l2(column, F.lit(np.array(q)))
+        total = F.arrow_udf(_squared_to(np.array(q)), "double")(column.cast("array<double>"))
     return F.when(F.size(column) == len(q), total)
 
 
+def _squared_to(query: np.ndarray):
+    """Arrow batches of vectors to their squared distances from ``query``."""
+
+    def squared(a: pa.Array) -> pa.Array:
+        lengths, ok, flat = _rows(a)
+        good = ok & (lengths == len(query))
+        out = np.full(len(a), np.nan)
+        rows = flat[np.repeat(good, np.maximum(lengths, 0))].reshape(-1, len(query))
+        out[good] = ((rows - query) ** 2).sum(1)
+        return pa.array(out, mask=~good)
+
+    return squared
+
+
 def l2_distance(a: Column, b: Column | Sequence[float]) -> Column:
     return F.sqrt(squared_l2(a, b) if isinstance(b, Column) else squared_l2_to(a, b))
 

@@ -8,9 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import squared_l2
-
 _CELLS = 1 << 22  # distances held at a time
+MATRIX_BYTES = 1 << 30  # of centroids that are broadcast, at most
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -28,8 +27,11 @@ def assign(df: DataFrame, column: str, centroids: np.ndarray) -> DataFrame:
     """``df`` with cluster_id, -1 for a null vector or one of another length or with null or NaN.
 
     Row by row in Arrow batches, no shuffle; works on a stream too.  The matrix is
-    broadcast: at most ceil(sqrt(rows)) centroids.
+    broadcast: ceil(sqrt(rows)) centroids by default, MATRIX_BYTES at most; a larger one is
+    refused before anything is sent, as fewer clusters then serve better.
     """
+    if centroids.size * 8 > MATRIX_BYTES:
+        raise ValueError(f"{len(centroids)} centroids of {centroids.shape[1]} dimensions are over {MATRIX_BYTES} bytes; choose fewer clusters")
     shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(centroids, np.float64))
     dim = centroids.shape[1]
 
@@ -48,14 +50,3 @@ def assign(df: DataFrame, column: str, centroids: np.ndarray) -> DataFrame:
         return pa.array(out)
 
     return df.withColumn("cluster_id", cluster(F.col(column)))
-
-
-def assign_by_join(df: DataFrame, key: str, column: str, centroids: DataFrame) -> DataFrame:
-    """(key, cluster_id, d2) with DataFrame operations only, for few centroids.
-
-    The centroids are gathered into one array beside each row, so nothing is paired or
-    shuffled: their number is the caller's parameter.
-    """
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "centroid"))).alias("c"))
-    near = F.array_min(F.transform("c", lambda c: F.struct(squared_l2(F.col(column), c["centroid"]).alias("d2"), c["cluster_id"].alias("cluster_id"))))
-    return df.crossJoin(F.broadcast(table)).select(key, column, near.alias("n")).select(key, column, F.col("n.cluster_id").alias("cluster_id"), F.col("n.d2").alias("d2"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_CAP = 100_000
+SAMPLE_FLOOR = 32  # points a cluster that a sample has, if the table and SAMPLE_CAP allow
+POINTS = 10_000  # of the sample in a partition
 
 
 def default_clusters(rows: int) -> int:
@@ -20,9 +22,18 @@ def sample_size(rows: int, clusters: int) -> int:
     return min(rows, max(min(max(rows // 20, 1), SAMPLE_CAP), clusters))
 
 
-def training_sample(df: DataFrame, key: Column, size: int, seed: int) -> DataFrame:
-    """``size`` rows without replacement, the same for the same seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+def training_sample(df: DataFrame, column: str, size: int, seed: int) -> DataFrame:
+    """The vectors with the ``size`` least hashes, the same for equal data and seed wherever
+    they lie; equal vectors are in together, so there may be a few more.
+
+    Only hashes meet in one task to find the bound, ``size`` of them from each task at most;
+    vectors go to partitions of POINTS by their hash and stand there in its order.
+    """
+    vector = F.col(column).cast("array<double>")
+    hashed = df.select(vector.alias(column), F.xxhash64(vector, F.lit(seed)).alias("__hash"))
+    bound = hashed.select("__hash").orderBy("__hash").limit(size).agg(F.max("__hash")).first()[0]
+    chosen = hashed.where(F.col("__hash") <= F.lit(bound))
+    return chosen.repartition(max(1, -(-size // POINTS)), "__hash").sortWithinPartitions("__hash").drop("__hash")
 
 
 def train(sample: DataFrame, column: str, clusters: int, max_iters: int, seed: int) -> np.ndarray:

@@ -77,28 +77,35 @@ class VectorSession:
     def __init__(self, spark: SparkSession, options: VectorTopKOptions | None = None, strict: bool = False):
         self.spark, self.options, self.strict = spark, options or VectorTopKOptions(), strict
         self.indexes: dict[str, IvfIndex | None] = {}
-        self._lock = threading.Lock()
+        self._tables: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()
         register(spark)
 
     def register(self, name: str, path: str) -> None:
         """Make a Parquet table known by name; it may have an index or not."""
         found = read_index(self.spark, path) if has_vector_index(self.spark, path) else None
-        (found.table if found else self.spark.read.parquet(path)).createOrReplaceTempView(name)
-        self.indexes[name.lower()] = found
+        with self._lock:
+            self._tables[name.lower()] = found.table if found else self.spark.read.parquet(path)
+            self._tables[name.lower()].createOrReplaceTempView(name)
+            self.indexes[name.lower()] = found
 
     def sql(self, text: str, args=None) -> DataFrame:
         return self.query(text, args).df
 
     def query(self, text: str, args=None) -> VectorQuery:
-        plain = self.spark.sql(text, args) if args else self.spark.sql(text)
-        match = self._match(plain)
+        with self._lock:  # no other thread's rows stand under a table's name meanwhile
+            plain = self.spark.sql(text, args) if args else self.spark.sql(text)
+            match = self._match(plain)
         if match is None:
             return VectorQuery(plain, None, self.options, None, None, None)
         index = self.indexes[match.name]
+        fits = squared_l2_to(F.col(match.column), match.query).isNotNull()
         if index is None:
             if self.strict:
                 raise ValueError(f"table {match.name} has no vector index")
-            return VectorQuery(plain, None, self.options, None, None, None)
+            # Vectors that don't fit have no distance and no place, here as with an index.
+            exact = self._over(text, args, match.name, self._tables[match.name].where(fits))
+            return VectorQuery(exact, None, self.options, None, None, None)
         index.check_query(match.query, match.column)
         found = index.candidates(match.query, self.options.nprobe, self.options.max_candidates)
         if self.options.nprobe < 1 or self.options.max_candidates == 0:
@@ -106,14 +113,17 @@ class VectorSession:
         files = found.select("_ivf_file").distinct()
         candidates = Observation()
         found = found.observe(candidates, F.count(F.lit(1)).alias("candidate_rows")).select(*index.table.columns)
-        fits = squared_l2_to(F.col(match.column), match.query).isNotNull()
+        df = self._over(text, args, match.name, found.where(fits))
+        return VectorQuery(df, match, self.options, candidates, self._ranked(df), files)
+
+    def _over(self, text: str, args, name: str, rows: DataFrame) -> DataFrame:
+        """The query planned with ``rows`` standing under a table's name."""
         with self._lock:
-            found.where(fits).createOrReplaceTempView(match.name)
+            rows.createOrReplaceTempView(name)
             try:
-                df = self.spark.sql(text, args) if args else self.spark.sql(text)
+                return self.spark.sql(text, args) if args else self.spark.sql(text)
             finally:
-                index.table.createOrReplaceTempView(match.name)
-        return VectorQuery(df, match, self.options, candidates, self._ranked(df), files)
+                self._tables[name].createOrReplaceTempView(name)
 
     def _ranked(self, df: DataFrame) -> DataFrame:
         """The rows that a query's sort ranks: candidates after its filters."""

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ..functions.validate import check_column, check_vectors
 from ..operators.assign import assign
-from ..operators.kmeans import default_clusters, sample_size, train, training_sample
+from ..operators.kmeans import SAMPLE_CAP, SAMPLE_FLOOR, default_clusters, sample_size, train, training_sample
 from ..operators.probe import cap_round_robin, rank_clusters
 from ..operators.topk import exact_topk
 from .tables import identified
 
 FORMAT = 1
+FILES = 1000  # names of files with candidates that a scan is told
 HIDDEN = ("_ivf_cluster", "_ivf_file", "_ivf_row")
 
 
@@ -157,7 +158,12 @@ class IvfIndex:
         postings = self.spark.read.parquet(f"{self.folder}/{self.manifest.layout}").where(F.col("_ivf_cluster").isin(ids)).withColumn("probe_rank", rank)
         if self.manifest.layout == "postings":
             postings = cap_round_robin(postings.select("_ivf_file", "_ivf_row", "probe_rank"), cap, "_ivf_file", "_ivf_row")
-            return identified(self.spark, self.path).join(postings, ["_ivf_file", "_ivf_row"])
+            rows = identified(self.spark, self.path)
+            # Files without candidates are pruned, as long as their names are few.
+            files = [r[0] for r in postings.select("_ivf_file").distinct().limit(FILES + 1).collect()]
+            if len(files) <= FILES:
+                rows = rows.where(F.col("_ivf_file").isin(files))
+            return rows.join(postings, ["_ivf_file", "_ivf_row"])
         return cap_round_robin(postings, cap, "_ivf_file", "_ivf_row").drop("_ivf_cluster")
 
     def search(self, query: Sequence[float], k: int, nprobe: int, where: str | None = None, cap: int | None = None) -> DataFrame:
@@ -172,7 +178,14 @@ def read_index(spark: SparkSession, path: str) -> IvfIndex:
     manifest = _manifest(spark, path)
     if manifest is None:
         raise ValueError(f"no vector index at {path}")
-    return IvfIndex(spark, path, manifest)
+    index = IvfIndex(spark, path, manifest)
+    for part in ("centroids", manifest.layout):
+        at, fs = _fs(spark, f"{index.folder}/{part}")
+        if not fs.exists(at):
+            raise ValueError(f"the index at {path} is damaged: {part} of {manifest.version} is missing")
+    if (n := index.centroids.count()) != manifest.clusters:
+        raise ValueError(f"the index at {path} is damaged: {n} centroids of {manifest.clusters}")
+    return index
 
 
 class IndexBuilder:
@@ -185,6 +198,20 @@ class IndexBuilder:
         self.spark, self.source, self.column = spark, source, check_column(column)
         self._clusters: int | None = None
         self._max_iters, self._seed = 20, 42
+        self._options: dict[str, str] = {}
+        self._given: np.ndarray | None = None
+
+    def centroids(self, matrix: np.ndarray) -> IndexBuilder:
+        """Given centroids instead of trained ones, a row each."""
+        self._given = np.asarray(matrix, np.float64)
+        return self
+
+    def option(self, name: str, value: object) -> IndexBuilder:
+        """A setting of the Parquet writer for the index's rows or postings, such as
+        ``parquet.page.size``, ``parquet.block.size``, ``compression``, or one column's
+        ``parquet.bloom.filter.enabled#title``."""
+        self._options[name] = str(value)
+        return self
 
     def n_clusters(self, n: int) -> IndexBuilder:
         self._clusters = n
@@ -205,10 +232,15 @@ class IndexBuilder:
             raise ValueError("n_clusters must be at least 1")
         rows = identified(self.spark, self.source)
         n, dim = check_vectors(rows, self.column)
+        if self._given is not None:
+            if self._given.ndim != 2 or self._given.shape[1] != dim or not len(self._given):
+                raise ValueError(f"given centroids have not {dim} dimensions")
+            return rows, self._given, n, dim
         clusters = self._clusters or default_clusters(n)
         if clusters > n:
             raise ValueError(f"{clusters} clusters for {n} vectors")
-        sample = training_sample(rows, F.struct("_ivf_file", "_ivf_row"), sample_size(n, clusters), self._seed)
+        size = min(n, max(sample_size(n, clusters), min(SAMPLE_FLOOR * clusters, SAMPLE_CAP)))
+        sample = training_sample(rows, self.column, size, self._seed)
         return rows, train(sample, self.column, clusters, self._max_iters, self._seed), n, dim
 
     def _write(self, path: str, layout: str) -> IvfIndex:
@@ -222,7 +254,7 @@ class IndexBuilder:
         # A cluster's rows come together in as many files as they need: the rebalance
         # splits large clusters, and no task writes to all folders.
         out = assigned.hint("rebalance", "_ivf_cluster").sortWithinPartitions("_ivf_cluster", "_ivf_file", "_ivf_row")
-        out.write.partitionBy("_ivf_cluster").parquet(f"{folder}/{layout}")
+        out.write.options(**self._options).partitionBy("_ivf_cluster").parquet(f"{folder}/{layout}")
         sizes = self.spark.read.parquet(f"{folder}/{layout}").groupBy(F.col("_ivf_cluster").alias("cluster_id")).agg(F.count("*").alias("n_rows"))
         table = self.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
         table.join(sizes, "cluster_id", "left").fillna(0, "n_rows").coalesce(1).write.parquet(f"{folder}/centroids")

@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getRawPath().rstrip("/")
+
+
 def identified(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with _ivf_file (its file's name) and _ivf_row (0-based, in the file)."""
-    df = spark.read.parquet(path)
-    return df.select("*", F.col("_metadata.file_name").alias("_ivf_file"), F.col("_metadata.row_index").alias("_ivf_row"))
+    """A Parquet table with _ivf_file and _ivf_row (0-based, in the file).
+
+    A file is named by its path below the table's, as files of several folders may share a
+    name; a table that is one file, by its file name.
+    """
+    df, root = spark.read.parquet(path), _qualified(spark, path)
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    below = F.substring(at, F.lit(len(root) + 2), F.length(at))
+    name = F.when(F.startswith(at, F.lit(f"{root}/")), below).otherwise(F.col("_metadata.file_name"))
+    return df.select("*", name.alias("_ivf_file"), F.col("_metadata.row_index").alias("_ivf_row"))
 
 
 def embedding_at(df: DataFrame, column: str, key: str, value) -> list[float]:

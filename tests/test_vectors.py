@@ -251,3 +251,60 @@ def test_full_probe_is_exact_and_recall_grows(spark, tmp_path_factory, seed):
     assert set(ids(index.search(q, 10, 6))) == set(exact)
     hits = [len(set(ids(index.search(q, 10, p))) & set(exact)) for p in (1, 3, 6)]
     assert hits == sorted(hits)
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for part in (1, 2):
+        rows = [(part * 100 + i, [float(part), float(i)]) for i in range(20)]
+        spark.createDataFrame(rows, "id int, vec array<float>").coalesce(1).write.parquet(str(tmp_path / "t" / f"a={part}"))
+        file = next((tmp_path / "t" / f"a={part}").glob("*.parquet"))
+        file.rename(file.with_name("data.parquet"))
+    index = IndexBuilder(spark, str(tmp_path / "t"), "vec").n_clusters(2).build_inplace()
+    found = index.search([1.0, 0.0], 100, 2)
+    assert sorted(r["id"] for r in found.collect()) == [p * 100 + i for p in (1, 2) for i in range(20)]
+    assert {r["_ivf_file"] for r in found.collect()} == {"a=1/data.parquet", "a=2/data.parquet"}
+
+
+def test_equal_data_train_equal_indexes(spark, tmp_path):
+    rows = [(i, [float(i % 7), float(i % 5), float(i)]) for i in range(200)]
+    sizes = []
+    for copy in range(2):  # other file names, another order, other files
+        df = spark.createDataFrame(rows if copy else rows[::-1], "id int, vec array<float>")
+        df.repartition(1 + copy).write.parquet(str(tmp_path / f"in{copy}"))
+        index = IndexBuilder(spark, str(tmp_path / f"in{copy}"), "vec").n_clusters(4).build_new(str(tmp_path / f"out{copy}"))
+        sizes.append([(r["cluster_id"], r["n_rows"], r["centroid"]) for r in index.centroids.orderBy("cluster_id").collect()])
+    assert sizes[0] == sizes[1]
+
+
+def test_vectors_that_do_not_fit_have_no_place_without_an_index(spark, tmp_path):
+    rows = [(1, None), (2, [1.0]), (3, [5.0, 5.0]), (4, [1.0, 1.0]), (5, [None, 1.0])]
+    spark.createDataFrame(rows, "id int, vec array<float>").write.parquet(str(tmp_path / "t"))
+    session = enable_vector_search(spark)
+    session.register("plain_vectors", str(tmp_path / "t"))
+    found = session.sql("SELECT id FROM plain_vectors ORDER BY array_distance(vec, array(1.0D, 1.0D)) LIMIT 3")
+    assert [r["id"] for r in found.collect()] == [4, 3]
+    assert session.sql("SELECT id FROM plain_vectors").count() == 5
+
+
+def test_damaged_indexes_and_writer_options(spark, tmp_path):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    rows = [(i, [float(i), 0.0]) for i in range(40)]
+    index = IndexBuilder(spark, write(spark, tmp_path, rows), "vec").n_clusters(2).option("compression", "gzip").build_new(str(tmp_path / "o"))
+    file = next((tmp_path / "o").rglob("_ivf_cluster=*/*.parquet"))
+    assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "GZIP"
+    shutil.rmtree(index.folder.removeprefix("file:") + "/centroids")
+    with pytest.raises(ValueError, match="damaged"):
+        read_index(spark, str(tmp_path / "o"))
+
+
+def test_long_vectors_by_arrow(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    v = r.standard_normal((20, 300))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(20, None), (21, [1.0]), (22, [None] * 300)], "id int, vec array<double>")
+    got = {r["id"]: r["d"] for r in df.select("id", l2_distance(F.col("vec"), [float(x) for x in v[0]]).alias("d")).collect()}
+    assert all(got[i] == pytest.approx(np.linalg.norm(v[i] - v[0])) for i in range(20)) and [got[i] for i in (20, 21, 22)] == [None] * 3
