@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where it is unset and all runs in this machine's one process, as in tests, a
+    temporary folder is made and set; a cluster without a shared folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
