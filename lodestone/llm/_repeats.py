@@ -37,8 +37,7 @@ from ._minimizers import anchors, mix64
 
 BLOCK_BYTES = 4 << 20  # of text in a block, at least
 MESSAGE = 1024  # bytes between a block and a shard, about
-PER_SHARD = 4  # blocks for each shard
-GROUP = 256  # contexts of one anchor that meet whole
+GROUP = 1024  # contexts of one anchor that meet whole
 SENDER, CLAIM, HOT = 1, 2, 4
 _MESSAGE = "_shard int, _block int, kind int, payload binary"
 _REPLY = "_block int, _shard int, kind int, payload binary"
@@ -114,6 +113,13 @@ def _six(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _of_six(parts: list[np.ndarray]) -> np.ndarray:
+    """The numbers that six bytes each make, the two low bytes being 0."""
+    out = np.zeros((sum(len(x) for x in parts) // 6, 8), np.uint8)
+    out[:, :6] = np.concatenate(parts).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _rows(schema: list[str], rows: list[tuple]) -> pa.Table:
     kinds = {"payload": pa.binary(), "kind": pa.int32(), "_block": pa.int32(), "_shard": pa.int32()}
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
@@ -128,7 +134,7 @@ def _ask(search: Search, shards: int):
         cut = _cuts(b.gram, shards)
         return _rows(
             ["_shard", "_block", "kind", "payload"],
-            [(s, block, 0, _six(b.gram[i:j]) + b.ctx[i:j].tobytes()) for s, i, j in zip(range(shards), cut, cut[1:]) if j > i],
+            [(s, block, 0, _six(b.gram[i:j]) + _six(b.ctx[i:j])) for s, i, j in zip(range(shards), cut, cut[1:]) if j > i],
         )
 
     return ask
@@ -140,7 +146,7 @@ def _answer(search: Search, last: int):
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         blocks, payloads = table.column("_block").to_pylist(), table.column("payload").to_pylist()
-        sizes = np.array([len(p) // 14 for p in payloads])
+        sizes = np.array([len(p) // 12 for p in payloads])
         gram, ctx = _pairs(payloads, sizes)
         block = np.repeat(np.array(blocks), sizes)
         by = np.lexsort((block, ctx, gram))
@@ -165,11 +171,8 @@ def _answer(search: Search, last: int):
 
 
 def _pairs(payloads: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors' six bytes, as numbers, and the contexts of packed pairs."""
-    gram = np.zeros((sizes.sum(), 8), np.uint8)
-    gram[:, :6] = np.concatenate([np.frombuffer(p, np.uint8, 6 * n).reshape(-1, 6) for p, n in zip(payloads, sizes)])
-    ctx = np.concatenate([np.frombuffer(p, np.uint64, n, 6 * n) for p, n in zip(payloads, sizes)])
-    return gram.view(">u8").ravel().astype(np.uint64), ctx
+    """The anchors' and the contexts' six bytes, as numbers, of packed pairs."""
+    return tuple(_of_six([np.frombuffer(p, np.uint8, 6 * n, 6 * n * i) for p, n in zip(payloads, sizes)]) for i in (0, 1))
 
 
 def _codes(replies: pa.Table, kind: int) -> bytes:
@@ -216,26 +219,65 @@ def _window_hashes(values: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     return mix64(out)
 
 
-_HEAD = (("gram", np.uint64), ("ctx", np.uint64), ("rank", np.int32), ("count", np.int32), ("offset", np.uint8), ("n", np.uint8))
+_HEAD = (("rank", np.int32), ("count", np.uint8), ("offset", np.uint8), ("n", np.uint8))
 
 
-def _pack(values: np.ndarray, begin: np.ndarray, **head: np.ndarray) -> bytes:
-    """Contexts in one message: their number, _HEAD column by column, their tokens."""
-    n = head["n"]
+def _pack(values: np.ndarray, begin: np.ndarray, gram: np.ndarray, ctx: np.ndarray, **head: np.ndarray) -> bytes:
+    """Contexts in one message: their number, hashes, _HEAD column by column, their tokens.
+    A count over 255 says no more than 255 does, that there are others."""
+    n = head["n"] = head["n"].astype(np.int64)
+    head["count"] = np.minimum(head["count"], 255)
     flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.int64(len(n)).tobytes() + b"".join(head[name].astype(kind).tobytes() for name, kind in _HEAD) + values[flat].tobytes()
+    return np.int64(len(n)).tobytes() + _six(gram) + _six(ctx) + b"".join(head[name].astype(kind).tobytes() for name, kind in _HEAD) + values[flat].tobytes()
 
 
 def _unpack(payloads: list[bytes], dtype) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """_HEAD columns of all messages, the number of contexts in each, and all tokens."""
+    """Hashes and _HEAD columns of all messages, the number of contexts in each, and all tokens."""
     sizes = np.array([int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads])
     head, at = {}, np.full(len(payloads), 8)
+    for name in ("gram", "ctx"):
+        head[name] = _of_six([np.frombuffer(p, np.uint8, 6 * k, i) for p, k, i in zip(payloads, sizes, at)])
+        at += 6 * sizes
     for name, kind in _HEAD:
         head[name] = np.concatenate([np.frombuffer(p, kind, k, i) for p, k, i in zip(payloads, sizes, at)])
         at += sizes * np.dtype(kind).itemsize
     return head, sizes, np.concatenate([np.frombuffer(p, dtype, -1, i) for p, i in zip(payloads, at)])
 
 
+NONE, ALL, LATER, PARTLY = range(4)
+
+
+def _full(windows: np.ndarray) -> np.ndarray:
+    """A mask of so many windows."""
+    return (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+
+
+def _pack_masks(first: np.ndarray, later: np.ndarray, full: np.ndarray) -> bytes:
+    """A byte for each context, and its masks only where they are of its windows a part."""
+    code = np.full(len(full), PARTLY, np.uint8)
+    code[later == 0] = NONE
+    code[first == full] = ALL
+    code[(first == 0) & (later == full)] = LATER
+    part = code == PARTLY
+    return np.int64(len(full)).tobytes() + code.tobytes() + first[part].tobytes() + later[part].tobytes()
+
+
+def _masks(replies: pa.Table, kind: int, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and later holders' masks, in the order in which a block sent."""
+    t = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("_shard")
+    first, later, low = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64), 0
+    for p in t.column("payload").to_pylist():
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        code, own = np.frombuffer(p, np.uint8, n, 8), slice(low, low + n)
+        part = np.frombuffer(p, np.uint64, -1, 8 + n).reshape(2, -1) if len(p) > 8 + n else np.empty((2, 0), np.uint64)
+        first[own] = np.where(code == ALL, full[own], np.uint64(0))
+        later[own] = np.where((code == ALL) | (code == LATER), full[own], np.uint64(0))
+        at = low + np.flatnonzero(code == PARTLY)
+        first[at], later[at] = part
+        low += n
+    return first, later
+
+
 def _send(search: Search, shards: int):
     """Round 3: contexts, claims of contexts that another block sends, and windows of hot anchors."""
 
@@ -255,7 +297,7 @@ def _send(search: Search, shards: int):
         for shard, i, j in zip(range(shards), s.claim_cut, s.claim_cut[1:]):
             if j > i:
                 own = s.claims[i:j]
-                rows.append((shard, block, 3, _six(b.gram[own]) + b.ctx[own].tobytes()))
+                rows.append((shard, block, 3, _six(b.gram[own]) + _six(b.ctx[own])))
         for shard, i, j in zip(range(shards), s.hot_cut, s.hot_cut[1:]):
             if j > i:
                 h, none = s.unique[i:j], np.zeros(j - i)
@@ -280,30 +322,25 @@ def _compare(search: Search, dtype, last: int):
         order = np.minimum(blocks, last) << 32 | head["rank"]
         weight = head["count"].astype(np.int64)
         if claims:
-            counts = np.array([len(p) // 14 for _, _, p in claims])
+            counts = np.array([len(p) // 12 for _, _, p in claims])
             gram, ctx = _pairs([p for _, _, p in claims], counts)
-            by = np.lexsort((head["ctx"], head["gram"] >> np.uint64(16)))
-            known = np.rec.fromarrays([head["gram"][by] >> np.uint64(16), head["ctx"][by]])
-            of = by[np.searchsorted(known, np.rec.fromarrays([gram >> np.uint64(16), ctx]))]
+            # Each claim finds the first context of its name: the numbers of both together.
+            name = np.unique(np.stack([np.append(head["gram"], gram), np.append(head["ctx"], ctx)], 1), axis=0, return_inverse=True)[1].ravel()
+            holder = np.zeros(name.max() + 1, np.int64)
+            holder[name[: len(weight)][::-1]] = np.arange(len(weight))[::-1]
+            of = holder[name[len(weight) :]]
             weight += np.bincount(of, minlength=len(weight))
         first, later = search.solve(head["gram"], order, head["offset"].astype(np.int64), head["n"].astype(np.int64), weight, values, search)
-        ends = np.cumsum(sizes)
-        rows += [(b, shard, kind, first[e - n : e].tobytes() + later[e - n : e].tobytes()) for (b, kind, _), e, n in zip(whole, ends, sizes)]
+        ends, full = np.cumsum(sizes), _full(head["n"].astype(np.int64) - search.length + 1)
+        rows += [(b, shard, kind, _pack_masks(first[e - n : e], later[e - n : e], full[e - n : e])) for (b, kind, _), e, n in zip(whole, ends, sizes)]
         if claims:
             ends = np.cumsum(counts)
-            rows += [(b, shard, 3, later[of[e - n : e]].tobytes()) for (b, _, _), e, n in zip(claims, ends, counts)]
+            rows += [(b, shard, 3, _pack_masks(later[x], later[x], full[x])) for (b, _, _), x in zip(claims, (of[e - n : e] for e, n in zip(ends, counts)))]
         return _rows(["_block", "_shard", "kind", "payload"], rows)
 
     return compare
 
 
-def _masks(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and later holders' masks, in the order in which a block sent."""
-    t = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("_shard")
-    both = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in t.column("payload").to_pylist()]
-    return tuple(np.concatenate([x[i] for x in both]) if both else np.empty(0, np.uint64) for i in (0, 1))
-
-
 _RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary"
 
 
@@ -314,17 +351,18 @@ def _cover(search: Search, shards: int):
         b = Block(docs, search)
         s = Sent(b, np.frombuffer(_codes(replies, 9), np.uint8), search, shards)
         first, later = np.zeros(len(b.gram), np.uint64), np.zeros(len(b.gram), np.uint64)
-        first[s.pairs], later[s.pairs] = _masks(replies, 1)
-        first[s.claims] = later[s.claims] = np.frombuffer(_codes(replies, 3), np.uint64)
-        own, others = (x[s.of] if len(x) else x for x in _masks(replies, 2))
-        if len(own):
+        full = _full(b.last - b.first + 1)
+        for kind, pairs in ((1, s.pairs), (3, s.claims)):
+            first[pairs], later[pairs] = _masks(replies, kind, full[b.occurrence[pairs]])
+        if len(s.unique):
+            own, others = (x[s.of] for x in _masks(replies, 2, np.ones(len(s.unique), np.uint64)))
             bit = s.hot_index.astype(np.uint64)
             here = np.where(s.hot_rank > s.least_rank[s.of], others, own)
             np.bitwise_or.at(first, s.hot_pair, here << bit)
             np.bitwise_or.at(later, s.hot_pair, others << bit)
         after = b.rank > b.rank[b.occurrence][b.pair]
         mask = np.where(after, later[b.pair], first[b.pair]) if search.earlier else later[b.pair]
-        whole = mask == (np.uint64(1) << (b.last - b.first + 1).astype(np.uint64)) - np.uint64(1)
+        whole = mask == full
         partly = np.flatnonzero(~whole & (mask > 0))
         bits = (mask[partly][:, None] >> np.arange(search.length, dtype=np.uint64)) & np.uint64(1) > 0
         at = (b.first[partly][:, None] + np.arange(search.length))[bits]
@@ -355,11 +393,10 @@ def _cover(search: Search, shards: int):
 def remove_repeats(docs: DataFrame, search: Search, dtype, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (binary) for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    docs, last, n = id_blocks(docs, block_bytes or (lambda total: max(BLOCK_BYTES, math.isqrt(total * MESSAGE // PER_SHARD))))
-    shards = -(-n // PER_SHARD)
+    docs, last, n = id_blocks(docs, block_bytes or (lambda total: max(BLOCK_BYTES, math.isqrt(total * MESSAGE))))
     by_block = lambda df: df.groupBy("_block")
-    asked = by_block(docs).applyInArrow(_ask(search, shards), _MESSAGE)
+    asked = by_block(docs).applyInArrow(_ask(search, n), _MESSAGE)
     answered = asked.groupBy("_shard").applyInArrow(_answer(search, last), _REPLY)
-    sent = by_block(docs).cogroup(by_block(answered)).applyInArrow(_send(search, shards), _MESSAGE)
+    sent = by_block(docs).cogroup(by_block(answered)).applyInArrow(_send(search, n), _MESSAGE)
     compared = sent.groupBy("_shard").applyInArrow(_compare(search, dtype, last), _REPLY)
-    return by_block(docs).cogroup(by_block(compared)).applyInArrow(_cover(search, shards), _RESULT)
+    return by_block(docs).cogroup(by_block(compared)).applyInArrow(_cover(search, n), _RESULT)
