@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from .functions import l2_distance, mean_recall, recall_at_k, vector_dim, vector
 from .operators import assign, candidates, cap_round_robin, exact_search_all, exact_topk, ivf_search_all, lloyd_step, probes_for, rank_candidates, rank_clusters, seeded_centroids
 from .plans import VectorSession, VectorTopKOptions
 from .scratch import new_path
-from .sources import IndexBuilder
-from .sources.tables import embedding_at
+from .sources import IndexBuilder, TopkBuilder
+from .sources.tables import embedding_at, identified
 
 K, CLUSTERS, NPROBE, CAP = 10, 16, 3, 40
 EVERY, RECALL = 100, 0.95  # searches of every 100th id; what the probes are measured to find
@@ -73,18 +74,44 @@ def _sql_exact(spark, sf_dir, order: str) -> DataFrame:
     session = VectorSession(spark)
     session.register("embeddings", f"{sf_dir}/embeddings.parquet")
     _, q = vectors(spark, sf_dir)
-    text = f"SELECT vec_id, round(array_distance(embedding, array({', '.join(f'{x!r}D' for x in q)})), 6) AS distance FROM embeddings ORDER BY {order}"
-    return session.sql(text)
+    constant = f"array({', '.join(f'{x!r}D' for x in q)})"
+    distance = f"array_distance(embedding, {constant})"
+    return session.sql(f"SELECT vec_id, round({distance}, 6) AS distance FROM embeddings ORDER BY {order.format(d=distance, q=constant)}")
 
 
-@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D} DESC, vec_id LIMIT {K}")
+@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D} DESC LIMIT {K}")
 def exact_topk_desc(spark, sf_dir):
-    return _sql_exact(spark, sf_dir, f"distance DESC, vec_id LIMIT {K}")
+    return _sql_exact(spark, sf_dir, "{d} DESC LIMIT " + str(K))
 
 
-@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D}, vec_id LIMIT {K} OFFSET 5")
+@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D} LIMIT {K} OFFSET 5")
 def exact_topk_offset(spark, sf_dir):
-    return _sql_exact(spark, sf_dir, f"distance, vec_id LIMIT {K} OFFSET 5")
+    return _sql_exact(spark, sf_dir, "{d} LIMIT " + str(K) + " OFFSET 5")
+
+
+@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D} LIMIT {K}")
+def exact_topk_alias(spark, sf_dir):
+    """The sort key is the distance's alias."""
+    return _sql_exact(spark, sf_dir, f"distance LIMIT {K}")
+
+
+@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings ORDER BY {_D} LIMIT {K}")
+def exact_topk_swapped_cast(spark, sf_dir):
+    """The constant on the left, and a cast around the column."""
+    return _sql_exact(spark, sf_dir, "array_distance({q}, CAST(embedding AS array<double>)) LIMIT " + str(K))
+
+
+@query(f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings")
+def exact_sorted_without_limit(spark, sf_dir):
+    return _sql_exact(spark, sf_dir, "{d}")
+
+
+@query(f"SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_D}, vec_id) AS r FROM embeddings) WHERE r <= 2")
+def exact_topk_by_label(spark, sf_dir):
+    """The two nearest of each label: a window over the distance."""
+    df, q = vectors(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("d", "vec_id"))
+    return df.withColumn("d", l2_distance(F.col("embedding"), q)).withColumn("r", place).where("r <= 2").select("label", "vec_id")
 
 
 @query(f"SELECT vec_id, label FROM embeddings ORDER BY label, {_D}, vec_id LIMIT {K}")
@@ -229,11 +256,72 @@ def ivf_index_full_probe(spark, sf_dir):
 
 
 @query()
-def ivf_index_search(spark, sf_dir):
+def ivf_index_search_trained(spark, sf_dir):
     _, q = vectors(spark, sf_dir)
     return _built(spark, sf_dir).search(q, K, NPROBE, where="label >= 1").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+@cache
+def _seeded_index(app: str, source: str, layout: str) -> str:
+    """The path of an index over given centroids, those that SQL can name; in place over a copy."""
+    spark = SparkSession.active()
+    df, path = spark.read.parquet(source), f"{new_path(spark)}-seeded"
+    builder = IndexBuilder(spark, source, "embedding").centroids(_centroids(df)[1])
+    if layout == "rows":
+        builder.build_new(path)
+    else:
+        for part in range(3):  # files of one name in several folders
+            df.where(F.col("vec_id") % 3 == part).coalesce(1).write.parquet(f"{path}/part={part}")
+        IndexBuilder(spark, path, "embedding").centroids(_centroids(df)[1]).build_inplace()
+    return path
+
+
+def _seeded(spark, sf_dir, layout: str):
+    from .sources import read_index
+
+    return read_index(spark, _seeded_index(spark.sparkContext.applicationId, f"{sf_dir}/embeddings.parquet", layout))
+
+
+@query(f"WITH {_C}, {_A}, {_P}, {_F} SELECT vec_id, label, round(dq, 6) AS distance FROM f WHERE label >= 1 ORDER BY dq, vec_id LIMIT {K}")
+def ivf_index_search(spark, sf_dir):
+    """A built index over given centroids, NPROBE clusters of it probed, candidates filtered."""
+    _, q = vectors(spark, sf_dir)
+    return _seeded(spark, sf_dir, "rows").search(q, K, NPROBE, where="label >= 1").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_C}, {_A}, {_P}, {_F} SELECT vec_id, probe_rank FROM f")
+def ivf_inplace_candidates(spark, sf_dir):
+    """Rows read by their addresses, file and row, beside an index in place."""
+    _, q = vectors(spark, sf_dir)
+    return _seeded(spark, sf_dir, "postings").candidates(q, NPROBE).select("vec_id", F.col("probe_rank").cast("int").alias("probe_rank"))
+
+
+@query(f"WITH {_C}, {_A}, {_P}, {_F} SELECT vec_id, label, round(dq, 6) AS distance FROM f WHERE label >= 1 ORDER BY dq, vec_id LIMIT {K}")
+def ivf_inplace_search(spark, sf_dir):
+    _, q = vectors(spark, sf_dir)
+    return _seeded(spark, sf_dir, "postings").search(q, K, NPROBE, where="label >= 1").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_C}, {_A}, {_P}, {_F} SELECT vec_id, round(dq, 6) AS distance FROM f ORDER BY dq, vec_id LIMIT {K}")
+def ivf_direct_search(spark, sf_dir):
+    """TopkBuilder gives addresses; the rows at them."""
+    _, q = vectors(spark, sf_dir)
+    index = _seeded(spark, sf_dir, "postings")
+    found = TopkBuilder(spark, index.path, q).k(K).nprobe(NPROBE).search()
+    at = (F.col("_ivf_file") == F.col("file")) & (F.col("_ivf_row") == F.col("row_index"))
+    return identified(spark, index.path).join(F.broadcast(found), at).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_C}, {_A}, {_P} SELECT (SELECT count(*) FROM a JOIN p USING (cluster_id))::BIGINT AS candidate_rows, (SELECT count(*) FROM a JOIN p USING (cluster_id) WHERE label >= 1)::BIGINT AS embeddings_fetched")
+def ivf_metrics(spark, sf_dir):
+    session = VectorSession(spark, VectorTopKOptions(nprobe=NPROBE))
+    session.register("metered_embeddings", _seeded(spark, sf_dir, "rows").path)
+    _, q = vectors(spark, sf_dir)
+    vector = ", ".join(f"{x!r}D" for x in q)
+    found = session.query(f"SELECT vec_id FROM metered_embeddings WHERE label >= 1 ORDER BY array_distance(embedding, array({vector})) LIMIT {K}").metrics()
+    return spark.createDataFrame([(found["candidate_rows"], found["embeddings_fetched"])], "candidate_rows long, embeddings_fetched long")
+
+
 def _of_queries(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("key") % EVERY == 0).select(F.col("key").alias("query_id"), "vector")
 
@@ -311,12 +399,12 @@ def join_with_topk(spark, sf_dir):
     return near.join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("vec_id")).select("vec_id", "lang", "n_chars")
 
 
-@query()
+@query(f"WITH {_C}, {_A} SELECT vec_id, cluster_id FROM a")
 def stream_assign(spark, sf_dir):
     """Vectors of a stream, each assigned to its cluster of the index."""
     from .streaming import assign_stream
 
-    index, out = _built(spark, sf_dir), new_path(spark)
+    index, out = _seeded(spark, sf_dir, "rows"), new_path(spark)
     source = table(spark, sf_dir, "embeddings")
     folder = new_path(spark)
     source.write.parquet(folder)
@@ -345,7 +433,7 @@ _sql("sql_join_right", """SELECT c_custkey, count(o_orderkey) AS n FROM orders R
 _sql("sql_join_full", """SELECT coalesce(s_suppkey, -1) AS s_suppkey, coalesce(p_partkey, -1) AS p_partkey FROM (SELECT s_suppkey FROM supplier) s FULL OUTER JOIN (SELECT p_partkey FROM part WHERE p_size > 25) p
 ON s_suppkey = p_partkey""", "supplier", "part")
 _sql("sql_join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", "customer", "orders")
-_sql("sql_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+_sql("sql_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", "customer", "orders")
 _sql("sql_join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation", "region", "nation")
 _sql("sql_join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
 _sql("sql_join_range", """SELECT b.lo, count(*) AS n FROM part JOIN (VALUES (1, 10), (11, 30), (31, 50)) AS b(lo, hi) ON p_size BETWEEN b.lo AND b.hi GROUP BY b.lo""", "part")
@@ -367,7 +455,37 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN
 _sql("sql_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region", "nation", "region")
 _sql("sql_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
 _sql("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer", "supplier")
-_sql("sql_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem", "part", "lineitem")
+_sql("sql_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45", "part", "lineitem")
+_sql("sql_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+_sql("sql_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+_sql("sql_window_distribution", """SELECT o_orderkey, lead(o_totalprice, 2) OVER w AS further, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd
+FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)""", "orders",
+oracle="""SELECT o_orderkey, lead(o_totalprice, 2) OVER w AS further, (ntile(4) OVER w)::INTEGER AS quarter, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd
+FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)""")
+_sql("sql_window_range", """SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near FROM part""", "part")
+_sql("sql_regex", """SELECT p_partkey, regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2) AS second, regexp_replace(p_brand, '[0-9]+', 'N') AS b, p_name RLIKE '^[a-m]' AS early FROM part""", "part",
+oracle="""SELECT p_partkey, regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2) AS second, regexp_replace(p_brand, '[0-9]+', 'N', 'g') AS b, regexp_matches(p_name, '^[a-m]') AS early FROM part""")
+_sql("sql_array_agg", """SELECT n_regionkey, array_join(sort_array(array_agg(n_name)), ',') AS names, listagg(n_name, '/') WITHIN GROUP (ORDER BY n_nationkey) AS by_key, size(collect_set(n_regionkey)) AS one
+FROM nation GROUP BY n_regionkey""", "nation", oracle="""SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names, string_agg(n_name, '/' ORDER BY n_nationkey) AS by_key,
+len(list_distinct(array_agg(n_regionkey)))::INTEGER AS one FROM nation GROUP BY n_regionkey""")
+_sql("sql_higher_order", """SELECT vec_id, size(filter(embedding, x -> x > 0)) AS positive, round(aggregate(transform(embedding, x -> double(x) * x), 0D, (s, x) -> s + x), 4) AS squares,
+exists(embedding, x -> x > 1) AS any_big FROM embeddings""", "embeddings", oracle="""SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS positive,
+round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 4) AS squares, len(list_filter(embedding, lambda x: x > 1)) > 0 AS any_big FROM embeddings""")
+_sql("sql_map_struct", """SELECT o_orderkey, element_at(m, 'status') AS status, size(map_keys(m)) AS n, s.price AS price, s.who.id AS id FROM (
+SELECT o_orderkey, map('status', o_orderstatus, 'priority', o_orderpriority) AS m, named_struct('price', o_totalprice, 'who', named_struct('id', o_custkey)) AS s FROM orders)""", "orders",
+oracle="""SELECT o_orderkey, m['status'] AS status, len(map_keys(m))::INTEGER AS n, s.price AS price, s.who.id AS id FROM (
+SELECT o_orderkey, MAP {'status': o_orderstatus, 'priority': o_orderpriority} AS m, {'price': o_totalprice, 'who': {'id': o_custkey}} AS s FROM orders)""")
+_sql("sql_json", """SELECT c_custkey, get_json_object(j, '$.k') AS k, from_json(j, 'k BIGINT, seg STRING').seg AS seg, json_array_length('[1,2,3]') AS three FROM (
+SELECT c_custkey, to_json(named_struct('k', c_custkey, 'seg', c_mktsegment)) AS j FROM customer)""", "customer",
+oracle="""SELECT c_custkey, json_extract_string(j, '$.k') AS k, json_extract_string(j, '$.seg') AS seg, json_array_length('[1,2,3]')::INTEGER AS three FROM (
+SELECT c_custkey, to_json({'k': c_custkey, 'seg': c_mktsegment}) AS j FROM customer)""")
+_sql("sql_approximate", """SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS distinct_near,
+abs(percentile_approx(l_extendedprice, 0.5, 10000) - median(l_extendedprice)) <= 0.01 * median(l_extendedprice) AS median_near FROM lineitem GROUP BY l_returnflag""", "lineitem",
+oracle="SELECT l_returnflag, true AS distinct_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
+_sql("sql_pivot", """SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))""", "orders",
+oracle="""SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o,
+nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_orderpriority""")
+_sql("sql_aggregate_filter", """SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000) AS dear, max_by(o_orderkey, o_totalprice) AS dearest, bool_or(o_orderstatus = 'P') AS any_p FROM orders GROUP BY o_orderpriority""", "orders")
 _sql("sql_subquery", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", "orders")
 _sql("sql_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_mktsegment, count(*) AS n FROM big JOIN customer ON o_custkey = c_custkey WHERE t > 500000 GROUP BY c_mktsegment", "orders", "customer")
 _sql("sql_recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t")
@@ -387,6 +505,60 @@ oracle="SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS s, floor(o_totalprice
 _sql("sql_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'O'), '-') AS st FROM orders", "orders")
 
 
+@query("SELECT label, count(*) AS n, round(sum(x), 5) AS first, round(avg(x) * 2, 5) AS twice FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label")
+def user_functions(spark, sf_dir):
+    """A scalar and an aggregate function of the user's, both over Arrow batches."""
+    @F.pandas_udf("double")
+    def doubled(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    @F.pandas_udf("double")
+    def mean(x: pd.Series) -> float:
+        return float(x.mean())
+
+    df = table(spark, sf_dir, "embeddings").select("label", F.element_at("embedding", 1).cast("double").alias("x")).withColumn("y", doubled("x"))
+    exact = df.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("x"), 5).alias("first"))
+    own = df.groupBy("label").agg(F.round(mean("y"), 5).alias("twice"))
+    return exact.join(own, "label")
+
+
+@query("SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS word FROM nation")
+def user_table_function(spark, sf_dir):
+    """A table function of the user's, joined laterally from SQL text."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="word: string")
+    class Words:
+        def eval(self, text: str):
+            for word in text.split(" "):
+                yield (word,)
+
+    spark.udtf.register("words_of", Words)
+    views(spark, sf_dir, "nation")
+    return spark.sql("SELECT n_nationkey, word FROM nation, LATERAL words_of(n_name)")
+
+
+@query("""SELECT k, n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 100 + s_nationkey, count(*) FROM supplier GROUP BY 1) WHERE k <> 3""")
+def sql_ddl_dml(spark, sf_dir):
+    """CREATE TABLE, INSERT, INSERT OVERWRITE and DROP, in a database of its own."""
+    import uuid
+
+    views(spark, sf_dir, "customer", "supplier")
+    name, at = f"lodestone_{uuid.uuid4().hex[:8]}", new_path(spark)
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{at}'")
+    try:
+        spark.sql(f"CREATE TABLE {name}.t (k INT, n BIGINT) USING parquet")
+        spark.sql(f"INSERT INTO {name}.t SELECT c_nationkey, count(*) FROM customer GROUP BY 1")
+        spark.sql(f"INSERT INTO {name}.t SELECT 100 + s_nationkey, count(*) FROM supplier GROUP BY 1")
+        spark.sql(f"CREATE TABLE {name}.u USING parquet AS SELECT * FROM {name}.t WHERE k <> 3")
+        spark.sql(f"INSERT OVERWRITE {name}.t SELECT * FROM {name}.u")
+        out = new_path(spark)
+        spark.table(f"{name}.t").write.parquet(out)
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    return spark.read.parquet(out)
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE props IS NOT NULL AND length(props) > 0 GROUP BY event_type")
 def formats_round_trip(spark, sf_dir):
     """events written as CSV, JSON and ORC and read back, each a part of the columns."""
