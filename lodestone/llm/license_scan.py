@@ -186,7 +186,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     passed on; other columns are not read, whatever they are called.  A template needs five
     words.  ``templates``, name to text, replaces the library, whose texts may be whole
     licenses.  The library: notices and SPDX lines, and the texts of MIT, ISC, BSD-2-Clause
-    and zlib; a license stated in other words is not found.  A very long text is scanned whole.
+    and zlib; a license stated in other words is not found.  Templates that share most of
+    their shingles, such as the notices of GPL and AGPL, may both match; the containment
+    tells them apart.  A very long text is scanned whole.
     """
     library = Library(TEMPLATES if templates is None else templates)
     names = ["doc_id", "license", "containment", "start_word", "n_windows"]
