@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
@@ -19,6 +19,10 @@ def _carry(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, F.struct(*rest, F.lit(0).alias("__none")).alias("__rest"))
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _unpack(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
     return df.select(*(F.col(c) if c in needed else F.col(f"__rest.`{c}`").alias(c) for c in columns))
 
@@ -41,7 +45,7 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     shared lines.
     """
     kept = _unpack(line_dedup.dedup_lines(_carry(docs, "doc_id", "text")), docs.columns, "doc_id", "text")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*_all(docs)) if "n_chars" in docs.columns else kept
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     told = docs.withColumn("__text", F.md5(F.col("text").cast("binary")))
     gone = minhash_dedup.near_duplicates(told.select("doc_id", "text", "__text"), tag="__text").where("NOT kept")
     gone = Scratch(spark).keep(gone.select("doc_id", F.col("tag").alias("__text")).distinct())
-    return told.join(gone, ["doc_id", "__text"], "left_anti").select(*docs.columns)
+    return told.join(gone, ["doc_id", "__text"], "left_anti").select(*_all(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
