@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import Scratch, ascii_lower
 
+COMMONEST = 10_000  # keys that are broadcast; any other stands in at most lines / COMMONEST lines
 _BLANKS = "\x20\t\n\x0b\x0c\r"
 
 
@@ -20,6 +21,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     replaced.  A null text is one empty line and stays null.  Rows of one id are one
     document; a null id counts as no document, and its shared lines all go.  A key is
     compared by 128 bits of hash.
+
+    The COMMONEST keys go to the lines by broadcast, a fixed number of small rows; only the
+    lines of others meet their keys in a shuffle, where none holds more than a fixed share
+    of all lines, so a line that a third of all documents share crowds no task.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     docs = docs.withColumn("__ld_row", F.xxhash64("text"))
@@ -32,8 +37,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         .select("doc_id", "__ld_row", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
     shared = found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
+    shared = Scratch(docs.sparkSession).keep(shared)
+    common = shared.orderBy(F.desc("n"), "h1", "h2").limit(COMMONEST).select("h1", "h2", F.col("holder").alias("common_holder"))
+    looked_up = found.join(F.broadcast(common), ["h1", "h2"], "left")
+    by_broadcast = looked_up.where("common_holder IS NOT NULL").withColumnRenamed("common_holder", "holder")
+    by_shuffle = looked_up.where("common_holder IS NULL").drop("common_holder").join(shared.select("h1", "h2", "holder"), ["h1", "h2"])
     dropped = (
-        found.join(shared, ["h1", "h2"])
+        by_broadcast.unionByName(by_shuffle)
         .where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("holder")))
         .groupBy(F.col("doc_id").alias("__ld_id"), F.col("__ld_row").alias("__ld_hash"))
         .agg(F.sort_array(F.collect_set("at")).alias("__ld_at"))
