@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import l2_distance, mean_recall, recall_at_k, vector_dim, vector_report
+from .functions import l2_distance, mean_recall, recall_at_k, vector_column, vector_dim, vector_report
 from .operators import assign, candidates, cap_round_robin, exact_search_all, exact_topk, ivf_search_all, lloyd_step, probes_for, rank_candidates, rank_clusters, seeded_centroids
+from .operators.kmeans import default_clusters, sample_size
 from .plans import VectorSession, VectorTopKOptions
 from .scratch import new_path
 from .sources import IndexBuilder, TopkBuilder
-from .sources.tables import embedding_at, identified
+from .sources.tables import embedding_at, generate, identified
 
 K, CLUSTERS, NPROBE, CAP = 10, 16, 3, 40
 EVERY, RECALL = 100, 0.95  # searches of every 100th id; what the probes are measured to find
@@ -414,6 +415,89 @@ def stream_assign(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("SELECT 'new' AS place, false AS before, true AS after UNION ALL SELECT 'in place', false, true")
+def index_presence(spark, sf_dir):
+    from .sources import has_vector_index
+
+    df, out = table(spark, sf_dir, "embeddings"), []
+    matrix = _centroids(df)[1]
+    for place in ("new", "in place"):
+        path, source = new_path(spark), new_path(spark)
+        df.write.parquet(source)
+        at = path if place == "new" else source
+        before = has_vector_index(spark, at)
+        builder = IndexBuilder(spark, source, "embedding").centroids(matrix)
+        builder.build_new(path) if place == "new" else builder.build_inplace()
+        out.append((place, before, has_vector_index(spark, at)))
+    return spark.createDataFrame(out, "place string, before boolean, after boolean")
+
+
+_WRONG = ("blank column", "no column", "no list", "no floats", "no iterations", "no clusters", "too many clusters", "other dimensions", "null vectors", "no rows")
+
+
+@query("SELECT unnest([" + ", ".join(f"'{x}'" for x in _WRONG) + "]) AS setting, true AS refused")
+def index_config_checks(spark, sf_dir):
+    """What a builder refuses, and that it does."""
+    source, path = f"{sf_dir}/embeddings.parquet", new_path(spark)
+    df = spark.read.parquet(source)
+    df.withColumn("embedding", F.when(F.col("vec_id") > 0, F.col("embedding"))).write.parquet(f"{path}/nulls")
+    df.limit(0).write.parquet(f"{path}/none")
+    df.select(F.array(F.lit("x")).alias("words"), "vec_id").write.parquet(f"{path}/words")
+    build = lambda at, column="embedding": IndexBuilder(spark, at, column)
+    tries = (
+        lambda: build(source, " "), lambda: build(source, "nothing").build_new(path), lambda: build(source, "vec_id").build_new(path),
+        lambda: build(f"{path}/words", "words").build_new(path), lambda: build(source).max_iters(0).build_new(path), lambda: build(source).n_clusters(0).build_new(path),
+        lambda: build(source).n_clusters(10**9).build_new(path), lambda: build(source).centroids(np.zeros((2, 3))).build_new(path),
+        lambda: build(f"{path}/nulls").build_new(path), lambda: build(f"{path}/none").build_new(path),
+    )
+    out = []
+    for name, attempt in zip(_WRONG, tries, strict=True):
+        try:
+            attempt()
+            out.append((name, False))
+        except ValueError:
+            out.append((name, True))
+    return spark.createDataFrame(out, "setting string, refused boolean")
+
+
+@query("SELECT 'embedding' AS vector_column, len(embedding)::INTEGER AS dim FROM embeddings LIMIT 1")
+def vector_inference(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    name = vector_column(df)
+    return spark.createDataFrame([(name, vector_dim(df, name))], "vector_column string, dim int")
+
+
+@query("""SELECT n AS rows, ceil(sqrt(n))::BIGINT AS clusters, least(n, greatest(least(greatest(n // 20, 1), 100000), ceil(sqrt(n))::BIGINT)) AS sample
+FROM (SELECT unnest([1, 2, 19, 100, 101, 4000, 250000, 3000000, 50000000])::BIGINT AS n)""")
+def index_defaults(spark, sf_dir):
+    """The default number of clusters and the least sample, by rows."""
+    sizes = (1, 2, 19, 100, 101, 4000, 250_000, 3_000_000, 50_000_000)
+    return spark.createDataFrame([(n, default_clusters(n), sample_size(n, default_clusters(n))) for n in sizes], "rows long, clusters long, sample long")
+
+
+@query("SELECT 500::BIGINT AS n, 500::BIGINT AS ids, 16 AS dim, true AS in_range")
+def generated_vectors(spark, sf_dir):
+    made = generate(spark, 500, 16)
+    inside = F.bool_and(F.forall("embedding", lambda x: (x >= 0) & (x < 1)))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.size("embedding")).alias("dim"), inside.alias("in_range"))
+
+
+@query(f"SELECT 'VectorTopK: k={K}, column=embedding, query_dim=' || len(embedding) || ', nprobe={NPROBE}' AS plan FROM embeddings WHERE vec_id = 0")
+def ivf_explain(spark, sf_dir):
+    session = VectorSession(spark, VectorTopKOptions(nprobe=NPROBE))
+    session.register("explained_embeddings", _seeded(spark, sf_dir, "rows").path)
+    _, q = vectors(spark, sf_dir)
+    vector = ", ".join(f"{x!r}D" for x in q)
+    found = session.query(f"SELECT vec_id FROM explained_embeddings ORDER BY array_distance(embedding, array({vector})) LIMIT {K}")
+    return spark.createDataFrame([(found.explain().split("\n")[0],)], "plan string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def arrow_round_trip(spark, sf_dir):
+    """A table of few rows through Arrow memory and back."""
+    return spark.createDataFrame(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toArrow())
+
+
 # -- SQL beside vector search: one query of each kind ------------------------------------
 
 
