@@ -71,5 +71,5 @@ def dedup_byte_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     row of ``docs``.  Null texts are empty; null ids come after all others and, like
     repeated ids, never hold a smaller one than each other.  ``length``: 16 to 63.
     """
-    search = Search(length, max(8, length // 4), True, split_bytes, solve_by_radix)
+    search = Search(length, max(8, 2 * length // 5), True, split_bytes, solve_by_radix)
     return remove_repeats(docs, search, np.uint8)
