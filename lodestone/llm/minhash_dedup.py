@@ -37,6 +37,7 @@ _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).a
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
 PIECE_BYTES = 8 << 20  # of shingle sets in a block of a bucket
 BATCH_BYTES = 4 << 20  # of texts that are made into sets together
+FILTER = 1 << 20  # 64-bit words of the bitmap that is broadcast: full, it lets all texts by
 TILE = 512  # sets whose shared shingles are counted at a time
 _COLUMNS = 8192  # shingles that are counted at a time
 
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tag: str
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.min("keys").alias("keys")))
     # A class is called by its least doc_id, or by 63 bits of its digest if others have that too.
-    twice = classes.groupBy("id").agg(F.count("*").alias("twice")).where("twice > 1")
+    twice = scratch.keep(classes.groupBy("id").agg(F.count("*").alias("twice")).where("twice > 1"))
     name = F.when(F.col("twice").isNull(), F.col("id")).otherwise(-1 - F.col("d1").bitwiseAND(F.lit((1 << 63) - 1)))
     classes = scratch.keep(classes.join(twice, "id", "left").withColumn("rep", name).drop("twice"))
 
@@ -236,8 +237,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tag: str
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1").drop("m")
     members = scratch.keep(rows.join(shared, "key"))
     wanted = scratch.keep(classes.select("id", "d1", "d2", "rep").join(members.select("rep").distinct(), "rep", "left_semi"))
-    # The texts of the ids, and of these the sets of the classes.
-    sets = texts.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows(width), "id long, d1 long, d2 long, set array<long>")
+    # The texts of the ids, through a bitmap of FILTER words at most, which spares them a
+    # shuffle, and of these the sets of the classes.  What the bitmap lets by, the join drops.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER))
+    words = wanted.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits"))
+    found = texts.withColumn("slot", slot("doc_id")).join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word")).where("shiftright(bits, CAST(slot % 64 AS INT)) & 1L = 1L")
+    sets = found.select("doc_id", "text").mapInArrow(_set_rows(width), "id long, d1 long, d2 long, set array<long>")
     sets = scratch.keep(sets.dropDuplicates(["id", "d1", "d2"]).join(wanted, ["id", "d1", "d2"]).select(F.col("rep").alias("doc_id"), "set"))
 
     fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
