@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -79,4 +81,26 @@ def texts_by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Record
         yield batch.slice(low), texts[low:]
 
 
-__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "id_blocks", "n_words", "read", "texts_by_bytes"]
+def give_back() -> None:
+    """Free memory of this process that allocators hold for later goes to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(rows: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The generator function, giving memory back when a task's rows end: Spark's workers
+    outlive their tasks, and what they hold is missing in the stages that follow."""
+
+    @wraps(rows)
+    def run(*args) -> Iterator:
+        try:
+            yield from rows(*args)
+        finally:
+            give_back()
+
+    return run
+
+
+__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "give_back", "id_blocks", "lean", "n_words", "read", "texts_by_bytes"]

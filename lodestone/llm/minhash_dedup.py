@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, texts_by_bytes
+from ._common import Scratch, lean, texts_by_bytes
 from ._components import components
 from ._minimizers import mix64
 from .substring_dedup import split_words
@@ -100,6 +100,7 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _sign(width: int):
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             sets = shingle_sets(texts, width)
@@ -115,6 +116,7 @@ def _sign(width: int):
 
 
 def _set_rows(width: int):
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             found = shingle_sets(texts, width)
@@ -180,6 +182,7 @@ def _joining(rep: list[int], component: list[int], main: list[bool], sets: list[
 def _join_components(percent: int, at_once: int = 1000):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, held = None, ([], [], [], [])
         found: list[tuple] = []
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tag: str
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
-    signed = scratch.keep(texts.mapInArrow(_sign(width), "doc_id long, tag string, n_shingles long, d1 long, d2 long, keys array<long>"))
+    signed = scratch.keep(texts.mapInArrow(_sign(width), "doc_id long, tag string, n_shingles long, d1 long, d2 long, keys array<long>"), BATCH_BYTES)
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.min("keys").alias("keys")))
     # A class is called by its least doc_id, or by 63 bits of its digest if others have that too.
@@ -243,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tag: str
     words = wanted.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits"))
     found = texts.withColumn("slot", slot("doc_id")).join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word")).where("shiftright(bits, CAST(slot % 64 AS INT)) & 1L = 1L")
     sets = found.select("doc_id", "text").mapInArrow(_set_rows(width), "id long, d1 long, d2 long, set array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["id", "d1", "d2"]).join(wanted, ["id", "d1", "d2"]).select(F.col("rep").alias("doc_id"), "set"))
+    sets = scratch.keep(sets.dropDuplicates(["id", "d1", "d2"]).join(wanted, ["id", "d1", "d2"]).select(F.col("rep").alias("doc_id"), "set"), BATCH_BYTES)
 
     fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 

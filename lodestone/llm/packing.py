@@ -19,10 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, lean
 
 END = 2
 _REMEMBERED = 1_200_000  # distinct words whose ids a worker keeps, about 200 MB
+BATCH_BYTES = 4 << 20  # of texts that a worker gets at once
 _GROUP = 1000  # partitions in a group of the two-level prefix sums
 
 
@@ -97,6 +98,7 @@ def encode(text: bytes, path: str, end: int = END) -> np.ndarray:
 def _tokenise(path: str, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("doc_tokens", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
+    @lean
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -118,6 +120,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _cut(window: int):
     names = [c.split()[0] for c in _PIECES.split(", ")]
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, sizes = batch.column("place").to_numpy(), batch.column("doc_tokens").to_numpy()
@@ -158,7 +161,7 @@ def pack(docs: DataFrame, window: int = 4096, vocabulary: str | None = None, end
         vocabulary = path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    tokens = scratch.keep(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, part long, before long, doc_tokens long, wide boolean, ids binary"))
+    tokens = scratch.keep(texts.mapInArrow(_tokenise(vocabulary, end), "doc_id long, part long, before long, doc_tokens long, wide boolean, ids binary"), BATCH_BYTES)
     # Prefix sums within groups of partitions, and over the groups' totals.
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).withColumn("g", F.floor(F.col("part") / _GROUP))
     groups = totals.groupBy("g").agg(F.sum("n").alias("n"))

@@ -27,10 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 SAMPLE = 20_000  # labelled documents that a model is fitted on, at most
 LENGTHS = (4, 5, 6)  # of beginnings
 ENDING = 5
@@ -219,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
 
     def counted(rows: DataFrame, only=None) -> DataFrame:
+        @lean
         def count(batches):
             counts: Counter = Counter()
             for _, texts in _texts(batches):
@@ -241,11 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             evidence.append(shrunk)
     model = Model(lexicon, evidence, np.zeros(len(lexicon) + N_VOTERS), -3.0)
 
+    @lean
     def look(batches):
         for part, texts in _texts(batches):
             hits = [model.hits(t) for t in texts]
             votes = [model.votes(t, h, n) for t, (h, n) in zip(texts, hits, strict=True)]
             yield pa.record_batch([pa.array([h for h, _ in hits], pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int32()))], names=["hits", "votes"])
+        model.known.clear()
 
     rows = sample.select("text").mapInArrow(look, "hits array<int>, votes array<int>").collect() if lexicon else []
     if rows:
@@ -255,13 +261,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+@lean
+def _scores(batches: Iterator[pd.Series], model: Model) -> Iterator[pd.Series]:
+    """The scores of a task's texts; the words met are forgotten at its end."""
+    for texts in batches:
+        yield texts.fillna("").map(model.score)
+    model.known.clear()
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column score; one of that name is replaced."""
     state = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scores(texts):
-        return texts.fillna("").map(state.value.score)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from _scores(batches, state.value)
 
     return docs.withColumn("score", scores(F.col("text")))
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir.
@@ -56,9 +58,18 @@ class Scratch:
         self.spark = spark
         self.tables: list[tuple[DataFrame, str]] = []
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = new_path(self.spark)
-        df.write.parquet(path)
+    def keep(self, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+        """``df`` written and read again.  ``batch_bytes`` bounds what a Python function in it
+        gets at once, else 10,000 rows or 64 MB; a larger row comes alone."""
+        path, conf = new_path(self.spark), self.spark.conf
+        before = conf.get(_BATCH_BYTES, None)
+        try:
+            if batch_bytes:
+                conf.set(_BATCH_BYTES, batch_bytes)
+            df.write.parquet(path)
+        finally:
+            if batch_bytes:
+                conf.unset(_BATCH_BYTES) if before is None else conf.set(_BATCH_BYTES, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((table, path))
         return table
