@@ -9,7 +9,10 @@ probability 1 - (1 - 0.4 / 3.1) ** BANDS, over 0.9999999.  Candidates are confir
 containment of the template's shingles.
 
 Minima are taken once over single shingles and then over twice as long pieces at a time,
-so that all groups together cost about two passes.
+so that all groups together cost about two passes.  A band's hash is a bijection of 32-bit
+values, so a window has a template's minimum only if it holds the very value that gives it:
+the passes leave out the stretches of a text, and the texts, in which no window holds a
+value of any template.
 """
 
 from __future__ import annotations
@@ -120,9 +123,31 @@ class Library:
             for band, table in enumerate(tables):
                 table.setdefault(int((high * _A[band] + _B[band]).min()), []).append(len(self.sets))
             self.sets.append((name, s))
+        self.values = np.unique(np.concatenate([s for _, s in self.sets]) >> np.uint64(32)).astype(np.uint32) if self.sets else np.empty(0, np.uint32)
+        self.marks = np.zeros(1 << 16, bool)
+        self.marks[self.values >> np.uint32(16)] = True
         self.wanted = {size: [np.array(list(table), np.uint32) for table in tables] for size, tables in self.groups.items()}
 
 
+def _stretches(high: np.ndarray, bounds: np.ndarray, library: Library) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the stretches begin and end whose windows may hold a value of a template, and
+    the text of each.
+
+    They begin at multiples of the largest M, two before that of the value and, if the text
+    is that long, end three after it, so every window with the value lies whole in one of
+    them, at a multiple of its own M.
+    """
+    at = np.flatnonzero(library.marks[high >> np.uint32(16)])
+    at = at[np.isin(high[at], library.values)]
+    text = np.searchsorted(bounds, at, side="right") - 1
+    most = max(library.groups, default=1)
+    piece = (at - bounds[text]) // most
+    begin, end = bounds[text] + np.maximum(0, piece - 2) * most, np.minimum(bounds[text + 1], bounds[text] + (piece + 3) * most)
+    new = np.ones(len(at) + 1, bool)  # the last one closes the last stretch
+    new[1:-1] = (text[1:] != text[:-1]) | (begin[1:] > end[:-1])
+    return begin[new[:-1]], end[new[1:]], text[new[:-1]]
+
+
 def _levels(bounds: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray | None, np.ndarray, np.ndarray, list]]:
     """Pieces of the texts, 1, 2, 4 ... shingles long from the beginning of each: the length
     if it is one of ``sizes``, else 0; where a piece's first half is among the level before;
@@ -142,8 +167,12 @@ def _levels(bounds: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndar
 def scan_texts(texts: list[bytes], library: Library, containment: float) -> list[tuple[int, str, float, int, int]]:
     """(text, template, containment, start word, windows) of the best window of each match."""
     values, bounds = shingles(texts)
-    if not len(values):
+    begins, ends, of = _stretches((values >> np.uint64(32)).astype(np.uint32), bounds, library)
+    if not len(begins):
         return []
+    before = begins - bounds[of]
+    values = np.concatenate([values[low:high] for low, high in zip(begins, ends, strict=True)])
+    bounds = np.concatenate([[0], np.cumsum(ends - begins)])
     levels = list(_levels(bounds, list(library.groups)))
     high = (values >> np.uint64(32)).astype(np.uint32)
     candidates: set[tuple[int, int, int]] = set()
@@ -168,8 +197,8 @@ def scan_texts(texts: list[bytes], library: Library, containment: float) -> list
         found = np.isin(template, own)
         if found.sum() >= containment * len(template) - 1e-9:
             share = float(found.mean())
-            at = int(begin - bounds[i] + np.flatnonzero(np.isin(own, template))[0])
-            seen = best.setdefault((i, t), [share, at, 0])
+            at = int(before[i] + begin - bounds[i] + np.flatnonzero(np.isin(own, template))[0])
+            seen = best.setdefault((int(of[i]), t), [share, at, 0])
             if share > seen[0]:
                 seen[0], seen[1] = share, at
             seen[2] += 1
