@@ -91,10 +91,12 @@ def give_back() -> None:
 
 def lean(rows: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """The generator function, giving memory back when a task's rows end: Spark's workers
-    outlive their tasks, and what they hold is missing in the stages that follow."""
+    outlive their tasks, and what they hold is missing in the stages that follow.  The last
+    batch is freed only after that, so the next task gives it back before it begins."""
 
     @wraps(rows)
     def run(*args) -> Iterator:
+        give_back()
         try:
             yield from rows(*args)
         finally:

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.llm import toxicity
+from lodestone.llm import _common, toxicity
 from lodestone.scratch import Scratch
 
 _MEASURED = """
@@ -59,3 +59,11 @@ def test_batches_are_bounded_by_bytes(spark):
     told = Scratch(spark).keep(texts.mapInArrow(sizes, "n long"), 1 << 20)
     assert told.agg(F.max("n")).first()[0] < 2 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_task_gives_back_what_the_one_before_left(monkeypatch):
+    order = []
+    monkeypatch.setattr(_common, "give_back", lambda: order.append("back"))
+    rows = _common.lean(lambda n: (order.append(i) or i for i in range(n)))
+    assert list(rows(2)) == [0, 1]
+    assert order == ["back", 0, 1, "back"]
