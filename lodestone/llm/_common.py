@@ -89,13 +89,26 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(rows: Callable[..., Iterator]) -> Callable[..., Iterator]:
+#: Clear what an operator remembers in a worker from one task to the next.
+remembered: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """What any operator remembers in this worker goes."""
+    for clear in remembered:
+        clear()
+
+
+def lean(rows: Callable[..., Iterator], remembers: bool = False) -> Callable[..., Iterator]:
     """The generator function, giving memory back when a task's rows end: Spark's workers
     outlive their tasks, and what they hold is missing in the stages that follow.  The last
-    batch is freed only after that, so the next task gives it back before it begins."""
+    batch is freed only after that, so the next task gives it back before it begins.  What
+    a function that ``remembers`` kept for its next task goes when a task of any other begins."""
 
     @wraps(rows)
     def run(*args) -> Iterator:
+        if not remembers:
+            forget()
         give_back()
         try:
             yield from rows(*args)
@@ -105,4 +118,4 @@ def lean(rows: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return run
 
 
-__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "give_back", "id_blocks", "lean", "n_words", "read", "texts_by_bytes"]
+__all__ = ["SPACE", "WORD", "Scratch", "ascii_lower", "forget", "give_back", "id_blocks", "lean", "n_words", "read", "remembered", "texts_by_bytes"]

@@ -11,7 +11,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, lean
+from ._common import Scratch, lean, remembered
 
 END = 2
-_REMEMBERED = 1_200_000  # distinct words whose ids a worker keeps, about 200 MB
+_REMEMBERED = 1_200_000  # distinct words whose ids a worker keeps, about 200 MB, while it tokenises
 BATCH_BYTES = 4 << 20  # of texts that a worker gets at once
 _GROUP = 1000  # partitions in a group of the two-level prefix sums
 
@@ -88,6 +88,9 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
+remembered.append(_words.cache_clear)
+
+
 def encode(text: bytes, path: str, end: int = END) -> np.ndarray:
     """The ids of a text, and then ``end``."""
     words = _words(path)
@@ -98,7 +101,7 @@ def encode(text: bytes, path: str, end: int = END) -> np.ndarray:
 def _tokenise(path: str, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("doc_tokens", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
-    @lean
+    @partial(lean, remembers=True)
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -67,3 +67,53 @@ def test_a_task_gives_back_what_the_one_before_left(monkeypatch):
     rows = _common.lean(lambda n: (order.append(i) or i for i in range(n)))
     assert list(rows(2)) == [0, 1]
     assert order == ["back", 0, 1, "back"]
+
+
+_PACKED_BEFORE = """
+import re
+import pyarrow as pa
+from public_tokenizers import path
+from lodestone.llm import minhash_dedup, packing
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def signed():
+    texts = pa.record_batch([pa.array([1]), pa.array([None], pa.string()), pa.array([b"a b c d e f"])], names=["doc_id", "tag", "text"])
+    return [b.num_rows for b in minhash_dedup._sign(5)(iter([texts]))]
+
+vocabulary = path("word_bpe_49k.json")
+packing.encode(b"a", vocabulary)
+signed()
+before = held()
+for i in range(400_000):
+    packing.encode(b"w%dq" % i, vocabulary)
+kept = held() - before
+signed()
+print(kept, held() - before)
+"""
+
+
+def test_words_of_packing_are_gone_in_the_stages_after_it():
+    run = subprocess.run([sys.executable, "-c", _PACKED_BEFORE], capture_output=True, text=True, check=True, timeout=120)
+    kept, left = map(float, run.stdout.split())
+    assert kept > 60 and left < 20  # MB
+
+
+def test_only_other_functions_make_a_worker_forget(monkeypatch):
+    order = []
+    monkeypatch.setattr(_common, "remembered", [lambda: order.append("forgotten")])
+    for keeps in (True, False):
+        assert list(_common.lean(lambda: iter([keeps]), remembers=keeps)()) == [keeps]
+        assert order == ["forgotten"] * (not keeps)
+
+
+def test_packing_remembers_words_until_it_cuts():
+    from public_tokenizers import path
+
+    from lodestone.llm import packing
+
+    packing.encode(b"a word", path("word_bpe_49k.json"))
+    assert packing._words.cache_info().currsize
+    assert list(packing._cut(4096)(iter([]))) == []
+    assert not packing._words.cache_info().currsize
