@@ -563,9 +563,23 @@ _sql("sql_json", """SELECT c_custkey, get_json_object(j, '$.k') AS k, from_json(
 SELECT c_custkey, to_json(named_struct('k', c_custkey, 'seg', c_mktsegment)) AS j FROM customer)""", "customer",
 oracle="""SELECT c_custkey, json_extract_string(j, '$.k') AS k, json_extract_string(j, '$.seg') AS seg, json_array_length('[1,2,3]')::INTEGER AS three FROM (
 SELECT c_custkey, to_json({'k': c_custkey, 'seg': c_mktsegment}) AS j FROM customer)""")
-_sql("sql_approximate", """SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS distinct_near,
-abs(percentile_approx(l_extendedprice, 0.5, 10000) - median(l_extendedprice)) <= 0.01 * median(l_extendedprice) AS median_near FROM lineitem GROUP BY l_returnflag""", "lineitem",
-oracle="SELECT l_returnflag, true AS distinct_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
+# A sketch beside count(DISTINCT) in one aggregate is kept for each distinct value, and median() holds a group's values in one task; so
+# sketches, distinct values and medians are aggregated apart. The sketch names a bracket of 0.1 % around the median, five times as wide
+# as its error; values in the bracket are ranked, those below it only counted.
+_APPROXIMATE = """sketch AS (SELECT l_returnflag, approx_count_distinct(l_partkey, 0.02) AS parts_near, percentile_approx(l_extendedprice, array(0.4995, 0.5, 0.5005), 10000) AS near,
+  count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag),
+counted AS (SELECT /*+ BROADCAST(s) */ l.l_returnflag, CASE WHEN l_extendedprice >= near[0] THEN l_extendedprice END AS x, count(l_extendedprice) AS c,
+  first(parts_near) AS parts_near, first(near[1]) AS median_near, first(n) AS n
+  FROM lineitem l JOIN sketch s ON l.l_returnflag <=> s.l_returnflag WHERE coalesce(l_extendedprice <= near[2], true) GROUP BY 1, 2),
+ranked AS (SELECT *, sum(c) OVER (PARTITION BY l_returnflag ORDER BY x NULLS FIRST) AS upto FROM counted),
+middle AS (SELECT l_returnflag, first(parts_near) AS parts_near, first(median_near) AS median_near, first(n) AS n,
+  min(struct(x)) FILTER (WHERE upto >= (n + 1) div 2).x AS low, min(struct(x)) FILTER (WHERE upto >= n div 2 + 1).x AS high FROM ranked GROUP BY l_returnflag),
+medians AS (SELECT l_returnflag, parts_near, median_near,
+  CASE WHEN n > 0 AND (low IS NULL OR high IS NULL) THEN raise_error('the median is outside its bracket') WHEN low = high THEN low ELSE low * 0.5D + high * 0.5D END AS median FROM middle),
+parts AS (SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag)"""
+_sql("sql_approximate", f"""WITH {_APPROXIMATE} SELECT m.l_returnflag, abs(parts_near - parts) <= 0.1 * parts AS distinct_near, abs(median_near - median) <= 0.01 * median AS median_near
+FROM medians m JOIN parts p ON m.l_returnflag <=> p.l_returnflag""", "lineitem",
+     oracle="SELECT l_returnflag, true AS distinct_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
 _sql("sql_pivot", """SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))""", "orders",
 oracle="""SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o,
 nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_orderpriority""")
