@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CELLS = 1 << 22  # distances held at a time
+_CELLS = 1 << 19  # distances held at a time
 MATRIX_BYTES = 1 << 30  # of centroids that are broadcast, at most
 
 
@@ -19,7 +19,10 @@ def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     step = max(1, _CELLS // len(centroids))
     for low in range(0, len(vectors), step):
         v = vectors[low : low + step]
-        out[low : low + step] = (norms - 2 * (v @ centroids.T)).argmin(1)
+        near = v @ centroids.T
+        near *= -2
+        near += norms
+        out[low : low + step] = near.argmin(1)
     return out
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 ROWS, QUERIES = 16_384, 1_024  # rows and queries that meet in one group, about
 SAMPLE = 200  # searches that the number of probes is measured on
-_CELLS = 1 << 22  # distances held at a time
+BLOCK_BYTES = 1 << 23  # of vectors in double precision that a block of rows has, about; longer vectors make smaller blocks
+_CELLS = 1 << 19  # distances held at a time
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -19,9 +20,10 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     flat = column.combine_chunks()
     lengths = flat.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(lengths == dim)
-    v = flat.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    fit = flat if len(at) == len(flat) else flat.take(pa.array(at))
+    v = fit.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     good = np.isfinite(v).all(1)
-    return v[good], at[good]
+    return (v, at) if good.all() else (v[good], at[good])
 
 
 def _meet(k: int, dim: int):
@@ -35,12 +37,15 @@ def _meet(k: int, dim: int):
             return schema.empty_table()
         ids, keys = left.column("query_id").to_numpy()[qi], right.column("key").to_numpy()[vi]
         clusters = right.column("cluster_id").to_numpy()[vi]
-        norms, out = (v**2).sum(1), [[] for _ in names]
+        norms, out = np.einsum("ij,ij->i", v, v), [[] for _ in names]
         step = max(1, _CELLS // len(v))
         for low in range(0, len(q), step):
             some = q[low : low + step]
             own = (some**2).sum(1)
-            near = norms - 2 * (some @ v.T) + own[:, None]
+            near = some @ v.T
+            near *= -2
+            near += norms
+            near += own[:, None]
             last = np.partition(near, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
             # The product rounds: what may be among the k is computed anew from differences.
             last += 1e-9 * (own + norms.max())
@@ -62,10 +67,11 @@ def nearest_of_parts(queries: DataFrame, rows: DataFrame, k: int, dim: int) -> D
 
     ``queries`` (query_id, part, vector), a row for each part; query ids are distinct.
     ``rows`` (key, part, cluster_id, vector).  Vectors that don't fit are left out.  A part
-    is dealt out in blocks of about ROWS rows and QUERIES queries, each pair of blocks
-    a group, so that no part's size bounds what a task holds.
+    is dealt out in blocks of about ROWS rows, BLOCK_BYTES at most, and QUERIES queries, each
+    pair of blocks a group, so that no part's size bounds what a task holds.
     """
-    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("row_blocks")).join(
+    block = max(1, min(ROWS, BLOCK_BYTES // (8 * dim)))
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("row_blocks")).join(
         queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks")), "part")
     side = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
